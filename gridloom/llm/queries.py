@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hosts, jaccard, quality, replytrees, secrets, tokencount
+from . import bpe, decontaminate, hosts, jaccard, katz, quality, replytrees, secrets, tokencount
 from .common import read_file, table
 
 
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = quality.apply_rules(docs)
@@ -65,5 +69,5 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), read_file(public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op5_byte_bpe, op6_jaccard_join, op7_url_filter, op8_chat_format, op9_secret_scan, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_katz_scores, op3_quality_rules, op5_byte_bpe, op6_jaccard_join, op7_url_filter, op8_chat_format, op9_secret_scan, op10_token_count)}
 ORACLE_SQL = {"op7_url_filter": hosts.oracle_sql()}
