@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hosts, jaccard, katz, quality, replytrees, secrets, tokencount
+from . import bpe, decontaminate, hosts, jaccard, katz, quality, replytrees, secrets, suffixdedup, tokencount
 from .common import read_file, table
 
 
@@ -26,6 +26,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -69,5 +75,5 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), read_file(public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_katz_scores, op3_quality_rules, op5_byte_bpe, op6_jaccard_join, op7_url_filter, op8_chat_format, op9_secret_scan, op10_token_count)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_katz_scores, op3_quality_rules, op4_suffix_dedup, op5_byte_bpe, op6_jaccard_join, op7_url_filter, op8_chat_format, op9_secret_scan, op10_token_count)}
 ORACLE_SQL = {"op7_url_filter": hosts.oracle_sql()}
