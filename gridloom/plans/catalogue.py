@@ -1,6 +1,320 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL.
+
+Every operator is generic; here it is applied to points, graphs and flows that
+are derived from the driver's tables by integer arithmetic.  Queries that are
+one declarative statement are given as SQL that both engines read alike; the
+others compose operators and have an independent SQL counterpart.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom import refdata as R
+from gridloom.functions import geometry as G
+from gridloom.operators import routing
+from gridloom.operators.components import connected_components
+from gridloom.operators.rangejoin import dbscan_one, range_join
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def statement(name: str, sql: str) -> None:
+    """Registers one SQL text for both engines; the tables are views over the files."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = sql
+        for t in TABLES:
+            text = text.replace(f"${t}", f"parquet.`{sf_dir}/{t}.parquet`")
+        return spark.sql(text)
+
+    QUERIES[name] = run
+    plain = sql
+    for t in TABLES:
+        plain = plain.replace(f"${t}", t)
+    ORACLE_SQL[name] = plain
+
+
+def px(k: str) -> str:
+    return f"((({k}) * 7919) % 10007) / 10.0"
+
+
+def py(k: str) -> str:
+    return f"((({k}) * 104729) % 10007) / 10.0"
+
+
+def points(df: DataFrame, key: str, x: str = "x", y: str = "y", name: str = "id") -> DataFrame:
+    return df.select(F.col(key).cast("long").alias(name), F.expr(f"cast({px(key)} as double)").alias(x), F.expr(f"cast({py(key)} as double)").alias(y))
+
+
+def _pts(t: str, key: str, name: str = "id") -> str:
+    return f"(SELECT {key} AS {name}, CAST({px(key)} AS DOUBLE) AS x, CAST({py(key)} AS DOUBLE) AS y FROM {t})"
+
+
+DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+VALUES_D = "(VALUES " + ", ".join(f"({d}, CAST({c} AS DOUBLE), CAST({m} AS DOUBLE), {p})" for d, c, m, p in R.DIAMETERS) + ") AS t(diameter, capacity, longest, price)"
+PRICE = lambda d: R.case_up_to(d, R.STEP_PRICES, R.PRICE_BEYOND)
+
+# --- validation -----------------------------------------------------------------
+statement("object_type_counts", "SELECT event_type, count(*) AS n, sum(CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END) AS unknown_types, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS missing, sum(CASE WHEN value <= 0 THEN 1 ELSE 0 END) AS not_positive FROM $events GROUP BY event_type")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_id IS NULL) AS no_id, count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase')) AS odd_type, count(*) FILTER (WHERE json_extract(props, '$.k') IS NULL) AS no_k, count(*) FILTER (WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) <= 10) AS low_k FROM events")
+def validation_counts(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").agg(F.count("*").alias("total"), F.count_if(F.col("event_id").isNull()).alias("no_id"), F.count_if(~F.col("event_type").isin("view", "click", "purchase")).alias("odd_type"), F.count_if(k.isNull()).alias("no_k"), F.count_if(k.try_cast("double") <= 10).alias("low_k"))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+def json_attribute_cast(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "double").alias("k"))
+
+
+# --- existing network -----------------------------------------------------------
+COMPONENTS = f"""WITH RECURSIVE p AS {_pts("supplier", "s_suppkey")},
+e AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON {DIST} <= 100),
+r(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT id, min(other) AS cluster FROM r GROUP BY id)"""
+
+
+@query(COMPONENTS + " SELECT id, cluster FROM c")
+def dbscan_clusters(spark, sf_dir):
+    return dbscan_one(points(table(spark, sf_dir, "supplier"), "s_suppkey"), 100.0).select("id", "cluster")
+
+
+@query(COMPONENTS + ", g AS (SELECT cluster, count(*) AS n, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy FROM c JOIN p USING (id) GROUP BY cluster) SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS place FROM g")
+def dbscan_stats(spark, sf_dir):
+    g = dbscan_one(points(table(spark, sf_dir, "supplier"), "s_suppkey"), 100.0).groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
+    g.createOrReplaceTempView("_clusters")
+    return spark.sql("SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS place FROM _clusters")
+
+
+@query(f"SELECT a.id AS node, arg_min(b.id, (({DIST}) * 1e6 + b.id / 1e6)) AS nearest, round(min({DIST}), 6) AS d FROM {_pts('customer', 'c_custkey')} a, {_pts('supplier', 's_suppkey')} b GROUP BY a.id")
+def nearest_node(spark, sf_dir):
+    a = points(table(spark, sf_dir, "customer"), "c_custkey", name="node")
+    b = points(table(spark, sf_dir, "supplier"), "s_suppkey", "x2", "y2", "other")
+    out = None
+    left, radius = a, 64.0
+    for _ in range(5):  # rings of doubling radius: what finds a neighbour within reach has its nearest
+        hit = range_join(left, b, radius).groupBy("node").agg(F.min(F.struct("d", "other")).alias("s"))
+        out = hit if out is None else out.unionByName(hit)
+        left = left.join(hit, "node", "left_anti")
+        radius *= 2
+    return out.select("node", F.col("s.other").alias("nearest"), F.round("s.d", 6).alias("d"))
+
+
+statement("source_semi_nearest", f"SELECT a.id AS source, round({DIST}, 6) AS d FROM {_pts('$supplier', 's_suppkey')} a CROSS JOIN (SELECT CAST(500 AS DOUBLE) AS x, CAST(500 AS DOUBLE) AS y) b WHERE EXISTS (SELECT 1 FROM $lineitem l WHERE l.l_suppkey = a.id) ORDER BY {DIST}, a.id LIMIT 1")
+NET = "(SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM {n} WHERE n_nationkey % 6 <> 5)"
+
+
+@query("WITH RECURSIVE e AS (SELECT a, b FROM " + NET.format(n="nation") + " t UNION SELECT b, a FROM " + NET.format(n="nation") + " t), r(v) AS (SELECT 0 UNION SELECT e.b FROM r JOIN e ON e.a = r.v) SELECT v FROM r")
+def reachability(spark, sf_dir):
+    e = table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 5").selectExpr("n_nationkey AS a", "(n_nationkey * 7 + 3) % 25 AS b")
+    c = connected_components(e)
+    own = c.where("node = 0").select("component")
+    return c.join(own, "component", "left_semi").select(F.col("node").alias("v"))
+
+
+statement("graph_health", "SELECT least(l_partkey % 50, l_suppkey % 50) AS a, greatest(l_partkey % 50, l_suppkey % 50) AS b, count(*) AS n, sum(CASE WHEN l_partkey % 50 = l_suppkey % 50 THEN 1 ELSE 0 END) AS loops FROM $lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+statement("attachment_count", "SELECT s.s_suppkey, count(DISTINCT p.p_partkey) AS attached, greatest(0, 4 - count(DISTINCT p.p_partkey)) AS capacity FROM $supplier s LEFT JOIN $part p ON p.p_partkey % 97 = s.s_suppkey OR (p.p_partkey * 3) % 97 = s.s_suppkey GROUP BY s.s_suppkey")
+
+
+@query(f"SELECT source, target, d, place FROM (SELECT a.id AS source, b.id AS target, round({DIST}, 6) AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS place FROM {_pts('customer', 'c_custkey')} a JOIN {_pts('supplier', 's_suppkey')} b ON {DIST} <= 100) t WHERE place <= 20")
+def radius_candidates_topk(spark, sf_dir):
+    a = points(table(spark, sf_dir, "customer"), "c_custkey", name="source")
+    b = points(table(spark, sf_dir, "supplier"), "s_suppkey", "x2", "y2", "target")
+    range_join(a, b, 100.0).createOrReplaceTempView("_near")
+    return spark.sql(f"SELECT source, target, round(d, 6) AS d, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d, target) AS place FROM _near) WHERE place <= {R.MOST_CANDIDATES}")
+
+
+@query(f"SELECT a.id AS a, b.id AS b, round({DIST}, 6) AS d FROM {_pts('customer', 'c_custkey')} a JOIN {_pts('customer', 'c_custkey')} b ON a.id < b.id AND {DIST} <= 20")
+def range_self_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    j = range_join(points(c, "c_custkey", name="a"), points(c, "c_custkey", "x2", "y2", "b"), 20.0)
+    return j.where("a < b").select("a", "b", F.round("d", 6).alias("d"))
+
+
+# --- visibility -----------------------------------------------------------------
+SEGMENTS = f"(SELECT a.id AS a, b.id AS b, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {_pts('supplier', 's_suppkey')} a JOIN {_pts('supplier', 's_suppkey')} b ON a.id < b.id AND {DIST} <= 150)"
+NEAR_BOX = """sqrt((px - (x1 + t * (x2 - x1))) * (px - (x1 + t * (x2 - x1))) + (py - (y1 + t * (y2 - y1))) * (py - (y1 + t * (y2 - y1))))"""
+BLOCKS = f"(SELECT p_partkey AS zone, CAST({px('p_partkey')} AS DOUBLE) AS px, CAST({py('p_partkey')} AS DOUBLE) AS py, p_partkey % 3 AS kind FROM part WHERE p_partkey % 10 = 0)"
+HITS = f"(SELECT s.*, z.*, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t FROM {SEGMENTS} s CROSS JOIN {BLOCKS} z)"
+
+
+def _segments(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    j = range_join(points(s, "s_suppkey", "x1", "y1", "a"), points(s, "s_suppkey", "x2", "y2", "b"), 150.0, lx="x1", ly="y1")
+    return j.where("a < b").drop("d")
+
+
+def _zone_hits(spark, sf_dir, radius: float) -> DataFrame:
+    """Segments with the zones whose centre lies within ``radius``: cells of the segment's box meet the zone's cell."""
+    size = 150.0
+    zones = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("zone"), F.expr(f"CAST({px('p_partkey')} AS DOUBLE)").alias("px"), F.expr(f"CAST({py('p_partkey')} AS DOUBLE)").alias("py"), (F.col("p_partkey") % 3).alias("kind"))
+    zones = zones.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
+    cells = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / size), F.floor((F.greatest(a, b) + radius) / size))
+    s = _segments(spark, sf_dir).withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
+    c = F.col
+    return s.join(zones, ["cx", "cy"]).withColumn("near", G.point_segment_distance(c("px"), c("py"), c("x1"), c("y1"), c("x2"), c("y2"))).where(F.col("near") <= radius)
+
+
+@query(f"SELECT a, b FROM {SEGMENTS} s WHERE NOT EXISTS (SELECT 1 FROM {HITS} h WHERE h.a = s.a AND h.b = s.b AND {NEAR_BOX} <= 15)")
+def segment_visibility_anti(spark, sf_dir):
+    return _segments(spark, sf_dir).join(_zone_hits(spark, sf_dir, 15.0), ["a", "b"], "left_anti").select("a", "b")
+
+
+@query(f"SELECT a, b FROM {SEGMENTS} s WHERE NOT EXISTS (SELECT 1 FROM {HITS} h WHERE h.a = s.a AND h.b = s.b AND {NEAR_BOX} <= 15 AND h.zone IS DISTINCT FROM h.a * 10)")
+def own_zone_distinct(spark, sf_dir):
+    foreign = _zone_hits(spark, sf_dir, 15.0).where(~F.col("zone").eqNullSafe(F.col("a") * 10))
+    return _segments(spark, sf_dir).join(foreign, ["a", "b"], "left_anti").select("a", "b")
+
+
+@query(f"SELECT a, b, count(*) AS n, max(1 + kind / 10.0) AS k, string_agg(CAST(zone AS VARCHAR), ',' ORDER BY zone) AS crossings FROM {HITS} h WHERE {NEAR_BOX} <= 25 GROUP BY a, b")
+def special_crossings_agg(spark, sf_dir):
+    h = _zone_hits(spark, sf_dir, 25.0).groupBy("a", "b").agg(F.count("*").alias("n"), F.max(1 + F.col("kind") / 10.0).alias("k"), F.array_sort(F.collect_list("zone")).alias("z"))
+    return h.select("a", "b", "n", "k", F.array_join(F.col("z").cast("array<string>"), ",").alias("crossings"))
+
+
+@query(f"SELECT a.a, a.b, count(*) AS crossings FROM {SEGMENTS} a JOIN {SEGMENTS} b ON (a.a <> b.a OR a.b <> b.b) WHERE sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0 AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0 GROUP BY a.a, a.b")
+def crossing_pairs(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    size = 150.0
+    cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
+    s = s.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
+    t = s.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("a", "b", "x1", "y1", "x2", "y2")])
+    one = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    two = tuple(F.col(f"o_{c}") for c in ("x1", "y1", "x2", "y2"))
+    j = s.join(t, ["cx", "cy"]).where("(a <> o_a OR b <> o_b)").where(G.segments_cross(one, two))
+    return j.select("a", "b", "o_a", "o_b").distinct().groupBy("a", "b").agg(F.count("*").alias("crossings"))
+
+
+statement("topk_corners", f"SELECT brand, id, place FROM (SELECT p_brand AS brand, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY sqrt(({px('p_partkey')} - 500) * ({px('p_partkey')} - 500) + ({py('p_partkey')} - 500) * ({py('p_partkey')} - 500)), p_partkey) AS place FROM $part) t WHERE place <= 5")
+
+
+@query(f"SELECT id, k, round(x + 6 * cos(k * pi() / 4), 3) AS rx, round(y + 6 * sin(k * pi() / 4), 3) AS ry FROM {_pts('nation', 'n_nationkey')} a, (SELECT unnest(generate_series(0, 7)) AS k) g")
+def ring_points(spark, sf_dir):
+    p = points(table(spark, sf_dir, "nation"), "n_nationkey").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return p.select("id", "k", F.round(F.col("x") + 6 * F.cos(F.col("k") * F.pi() / 4), 3).alias("rx"), F.round(F.col("y") + 6 * F.sin(F.col("k") * F.pi() / 4), 3).alias("ry"))
+
+
+statement("bridge_dedup", "SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM $lineitem l WHERE l_suppkey <> l_partkey AND NOT EXISTS (SELECT 1 FROM $supplier s WHERE least(l.l_suppkey, l.l_partkey) = s.s_suppkey AND s.s_suppkey % 2 = 0)")
+
+# --- routing --------------------------------------------------------------------
+ROADS = """SELECT n_nationkey AS id, n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b, 1.0 + n_nationkey % 4 AS c FROM nation UNION ALL
+SELECT n_nationkey + 100, n_nationkey, (n_nationkey + 1) % 25, 2.0 + n_nationkey % 3 FROM nation"""
+RELAX = "WITH RECURSIVE e0 AS (" + ROADS + "), e AS (SELECT a, b, CAST(c AS DOUBLE) AS c FROM e0 UNION ALL SELECT b, a, CAST(c AS DOUBLE) FROM e0), r(s, v, d, n) AS (SELECT {s}, CAST(0 AS DOUBLE), 0 UNION SELECT r.s, e.b, r.d + e.c, n + 1 FROM r JOIN e ON e.a = r.v WHERE r.d + e.c <= 14 AND n < 9)"
+
+
+def _graph(spark, sf_dir, starts: list[int], ends: list[int] | None = None) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    edges = n.select(F.col("k").alias("id"), F.col("k").alias("source"), ((F.col("k") * 7 + 3) % 25).alias("target"), (1.0 + F.col("k") % 4).cast("double").alias("cost"))
+    edges = edges.unionByName(n.select((F.col("k") + 100).alias("id"), F.col("k").alias("source"), ((F.col("k") + 1) % 25).alias("target"), (2.0 + F.col("k") % 3).cast("double").alias("cost")))
+    marks = lambda kind, of: of.select(F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("id"), F.col("k").alias("source"), F.lit(0).cast("long").alias("target"), F.lit(0.0).alias("cost"))
+    out = edges.select(F.lit("edge").alias("kind"), "id", "source", "target", "cost").unionByName(marks("from", n.where(F.col("k").isin(*starts)))).unionByName(marks("to", n if ends is None else n.where(F.col("k").isin(*ends))))
+    return out.select(F.lit(0).cast("long").alias("cluster"), "*")
+
+
+@query(RELAX.format(s="0, 0") + " SELECT CAST(v AS BIGINT) AS target, min(d) AS cost FROM r GROUP BY v")
+def shortest_path_cost(spark, sf_dir):
+    return routing.all_paths(_graph(spark, sf_dir, [0])).select("target", "cost")
+
+
+@query(RELAX.replace("SELECT {s}, CAST(0 AS DOUBLE), 0", "SELECT x, x, CAST(0 AS DOUBLE), 0 FROM (VALUES (0), (11), (17)) q(x)") + " SELECT CAST(v AS BIGINT) AS target, min(d) AS cost FROM r GROUP BY v")
+def multi_source_nearest(spark, sf_dir):
+    return routing.nearest_of_many(_graph(spark, sf_dir, [0, 11, 17])).select("target", "cost")
+
+
+@query()
+def shared_tree_paths(spark, sf_dir):
+    return routing.shared_tree(_graph(spark, sf_dir, [0], [5, 9, 13, 21]))
+
+
+@query()
+def min_cost_assignment(spark, sf_dir):
+    c = points(table(spark, sf_dir, "customer").where("c_custkey % 50 = 7"), "c_custkey", name="consumer")
+    s = points(table(spark, sf_dir, "supplier").where("s_suppkey <= 8"), "s_suppkey", "x2", "y2", "target")
+    offers = c.crossJoin(F.broadcast(s)).select(F.lit(0).cast("long").alias("task"), "consumer", "target", G.distance("x", "y", "x2", "y2").alias("cost"), F.lit(4).alias("capacity"))
+    return routing.assign(offers)
+
+
+statement("tree_paths", "SELECT r_name, n_name, s_suppkey, concat(r_name, '>', n_name, '>', CAST(s_suppkey AS VARCHAR(20))) AS path FROM $region JOIN $nation ON n_regionkey = r_regionkey JOIN $supplier ON s_nationkey = n_nationkey")
+statement("turn_penalty", f"""WITH p AS (SELECT l_orderkey AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, {px('l_partkey')} AS x, {py('l_partkey')} AS y FROM $lineitem),
+s AS (SELECT line, i, x - lag(x) OVER (PARTITION BY line ORDER BY i) AS dx, y - lag(y) OVER (PARTITION BY line ORDER BY i) AS dy FROM p),
+t AS (SELECT line, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, CAST(lag(dx) OVER (PARTITION BY line ORDER BY i) AS DOUBLE) AS ex, CAST(lag(dy) OVER (PARTITION BY line ORDER BY i) AS DOUBLE) AS ey FROM s),
+a AS (SELECT line, degrees(acos(least(1, greatest(-1, (dx * ex + dy * ey) / sqrt((dx * dx + dy * dy) * (ex * ex + ey * ey)))))) AS angle FROM t WHERE (dx * dx + dy * dy) * (ex * ex + ey * ey) > 0)
+SELECT line, round(sum(CASE WHEN angle > 90 THEN (angle - 90) * 50 ELSE 0 END), 2) AS penalty FROM a GROUP BY line""")
+
+# --- tie-ins and variants ---------------------------------------------------------
+statement("shared_target", "SELECT part, n, cost FROM (SELECT l_partkey % 40 AS part, count(DISTINCT o_custkey) AS n, round(sum(l_extendedprice), 2) AS cost, row_number() OVER (ORDER BY count(DISTINCT o_custkey) DESC, round(sum(l_extendedprice), 2), l_partkey % 40) AS place FROM $lineitem JOIN $orders ON o_orderkey = l_orderkey GROUP BY l_partkey % 40) t WHERE place = 1")
+statement("sub_split_halves", f"SELECT s_suppkey, CASE WHEN row_number() OVER (ORDER BY {px('s_suppkey')}, s_suppkey) > floor((SELECT count(*) FROM $supplier) / 2) THEN 2 ELSE 1 END AS half FROM $supplier")
+statement("capacity_groups", f"SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY CAST(floor({px('s_suppkey')} / 100) AS INT), CAST(floor({py('s_suppkey')} / 100) AS INT)) AS grp, greatest(0, 4 - count(*) OVER (PARTITION BY CAST(floor({px('s_suppkey')} / 100) AS INT), CAST(floor({py('s_suppkey')} / 100) AS INT))) AS capacity FROM $supplier")
+statement("unconnected_penalty", f"SELECT count(*) AS n, round(sum({R.PENALTY_FIXED} + {R.PENALTY_FLOW} * abs(c_acctbal)), 0) AS penalty FROM $customer c WHERE NOT EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey)")
+SCORE = f"{R.COST_SHARE} * cost / {R.COST_UNIT} + {R.LENGTH_SHARE} * length / {R.LENGTH_UNIT}"
+statement("variant_score_rank", f"""WITH v AS (SELECT o_orderpriority AS variant, round(sum(o_totalprice), 2) AS cost, CAST(count(*) AS DOUBLE) AS length FROM $orders GROUP BY o_orderpriority),
+s AS (SELECT *, round({SCORE}, 4) AS score FROM v), f AS (SELECT *, row_number() OVER (PARTITION BY score ORDER BY variant) AS copy FROM s)
+SELECT variant, score, row_number() OVER (ORDER BY score, variant) AS place FROM f WHERE copy = 1""")
+
+# --- physical network -------------------------------------------------------------
+statement("flow_aggregation", "SELECT l_partkey AS edge, sum(l_quantity) AS flow, count(DISTINCT o_custkey) AS consumers FROM $orders JOIN $lineitem ON l_orderkey = o_orderkey GROUP BY l_partkey")
+statement("parallel_merge", "SELECT a, b, id, flow, n FROM (SELECT least(l_partkey % 300, l_suppkey) AS a, greatest(l_partkey % 300, l_suppkey) AS b, l_orderkey * 10 + l_linenumber AS id, sum(l_quantity) OVER w AS flow, count(*) OVER w AS n, row_number() OVER (PARTITION BY least(l_partkey % 300, l_suppkey), greatest(l_partkey % 300, l_suppkey) ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS place FROM $lineitem WINDOW w AS (PARTITION BY least(l_partkey % 300, l_suppkey), greatest(l_partkey % 300, l_suppkey))) t WHERE place = 1")
+statement("degree_and_type", "WITH e AS (SELECT DISTINCT l_partkey % 500 AS a, l_suppkey + 1000 AS b FROM $lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0), d AS (SELECT v, count(*) AS degree FROM (SELECT a AS v FROM e UNION ALL SELECT b AS v FROM e) t GROUP BY v) SELECT v, degree, CASE WHEN degree >= 3 THEN 'branch_chamber' WHEN degree = 1 THEN 'new_terminal_chamber' ELSE 'technical_node' END AS node_type FROM d")
+
+
+@query("WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 1 AS b FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey < 3000), r(start, v, n) AS (SELECT a, b, 1 FROM e WHERE a NOT IN (SELECT b FROM e) UNION ALL SELECT r.start, e.b, n + 1 FROM r JOIN e ON e.a = r.v) SELECT start, max(v) AS stop, max(n) AS edges FROM r GROUP BY start")
+def chain_walk(spark, sf_dir):
+    e = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0 AND o_orderkey < 3000").selectExpr("o_orderkey AS a", "o_orderkey + 1 AS b")
+    c = connected_components(e)
+    return c.groupBy("component").agg(F.max("node").alias("stop"), (F.count("*") - 1).cast("int").alias("edges")).withColumnRenamed("component", "start")
+
+
+statement("azimuth_split", f"""WITH a AS (SELECT s_nationkey AS node, s_suppkey AS wheel, atan2(CAST({px('s_suppkey')} - {px('s_nationkey')} AS DOUBLE), CAST({py('s_suppkey')} - {py('s_nationkey')} AS DOUBLE)) AS az FROM $supplier),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END, wheel) AS i, count(*) OVER (PARTITION BY node) AS n FROM a)
+SELECT node, wheel, i, CASE WHEN i = 1 OR i = floor(n / 3) + 1 OR i = floor(2 * n / 3) + 1 THEN 'keep' ELSE 'move' END AS what FROM r WHERE n > 4""")
+statement("orphan_cleanup", "SELECT c_custkey FROM $customer c WHERE EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey) AND NOT EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
+statement("diameter_lookup", f"SELECT l_orderkey, l_linenumber, coalesce(min(CASE WHEN capacity >= l_quantity * 10 THEN diameter END), 1400) AS diameter FROM $lineitem CROSS JOIN {VALUES_D} GROUP BY l_orderkey, l_linenumber")
+statement("length_runs", """WITH d AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_suppkey % 3 AS diameter, l_quantity AS length FROM $lineitem),
+g AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) - row_number() OVER (PARTITION BY path, diameter ORDER BY i) AS island FROM d)
+SELECT path, diameter, min(i) AS first, sum(length) AS total, CASE WHEN sum(length) > 60 THEN 1 ELSE 0 END AS bump FROM g GROUP BY path, diameter, island""")
+statement("step_price_cost", f"SELECT l_orderkey, l_linenumber, round(l_quantity * (1 + l_discount) * ({PRICE('l_partkey % 1500')}), 2) AS cost FROM $lineitem")
+CHAMBER = R.case_up_to("max(l_partkey % 1500)", R.CHAMBER_COSTS, R.CHAMBER_BEYOND)
+statement("chamber_cost", f"SELECT l_suppkey AS node, max(l_partkey % 1500) AS diameter, {CHAMBER} AS chamber_cost, count(*) * {R.TIE_IN_COST} AS tie_in_cost FROM $lineitem GROUP BY l_suppkey")
+statement("totals_filter", "SELECT l_returnflag AS variant, sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END) AS base_length, sum(CASE WHEN l_linestatus <> 'O' THEN l_quantity ELSE 0 END) AS special_length, count(*) FILTER (WHERE l_discount > 0.05) AS special, count(*) AS n FROM $lineitem GROUP BY l_returnflag")
+statement("feature_export_fields", f"SELECT concat('ps_1_', CAST(s_suppkey AS VARCHAR(20))) AS feature_id, 'heat_network' AS object_type, floor({px('s_suppkey')} * 100 + 0.5) / 100 AS length_m, concat('pn_', CAST(s_nationkey AS VARCHAR(20))) AS start_node FROM $supplier")
+
+
+@query(f"""WITH n AS (SELECT a.id AS source, b.id AS target, {DIST} AS length, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS place FROM {_pts('customer', 'c_custkey')} a JOIN {_pts('supplier', 's_suppkey')} b ON {DIST} <= 1000),
+f AS (SELECT source, target, length, abs(c_acctbal) / 100 AS flow FROM n JOIN customer ON c_custkey = source WHERE place = 1),
+d AS (SELECT source, target, length, coalesce(min(CASE WHEN capacity >= flow THEN diameter END), 1400) AS diameter FROM f CROSS JOIN {VALUES_D} GROUP BY source, target, length),
+c AS (SELECT *, length * ({PRICE('diameter')}) AS cost FROM d) SELECT source, target, diameter, round(length, 3) AS length_m, round(cost, 2) AS cost, round({SCORE}, 6) AS score FROM c""")
+def cheapest_tie_in(spark, sf_dir):
+    """Nearest tie-in of every consumer, its pipe by flow, cost and score."""
+    c = table(spark, sf_dir, "customer")
+    a = points(c, "c_custkey", name="source")
+    b = points(table(spark, sf_dir, "supplier"), "s_suppkey", "x2", "y2", "target")
+    near = range_join(a, b, R.TIE_IN_RADIUS).groupBy("source").agg(F.min(F.struct("d", "target")).alias("s")).select("source", F.col("s.target").alias("target"), F.col("s.d").alias("length"))
+    flow = near.join(c.select(F.col("c_custkey").alias("source"), (F.abs("c_acctbal") / 100).alias("flow")), "source")
+    pick = F.lit(None).cast("int")
+    for d, capacity, *_ in reversed(R.DIAMETERS):
+        pick = F.when(F.col("flow") <= capacity, d).otherwise(pick)
+    flow = flow.withColumn("diameter", F.coalesce(pick, F.lit(R.DIAMETERS[-1][0])))
+    flow = flow.withColumn("cost", F.col("length") * F.expr(PRICE("diameter")))
+    return flow.select("source", "target", "diameter", F.round("length", 3).alias("length_m"), F.round("cost", 2).alias("cost"), F.expr(f"round({SCORE}, 6)").alias("score"))
