@@ -116,7 +116,7 @@ def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     longest = int(size.max(initial=0))
     flat = np.frombuffer(b"".join(strings), np.uint8)
     stop = np.cumsum(size)
-    tail = np.zeros(n, np.int32)  # the empty suffixes come first
+    tail = np.zeros(n, np.int64)  # the empty suffixes come first
     common = np.zeros(n, np.uint8)
     edge = np.full(257, n, np.int64)  # where the suffixes that start with each symbol begin
     place = np.arange(n, dtype=np.int64)  # rank of each string's latest suffix
@@ -133,12 +133,12 @@ def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             ins[lo:hi] = edge[c] + np.searchsorted(tail[edge[c] : edge[c + 1]], p[lo:hi])
         new = ins + np.arange(m)
         old = len(tail)
+        shift = np.cumsum(np.bincount(ins, minlength=old + 1)[:old])
+        shift += np.arange(old)  # where the old suffixes go
         # tails and common prefixes of old and new suffixes side by side, tails still as ranks before this round
-        fresh = np.zeros(old + m, bool)
-        fresh[new] = True
-        tails, shared = np.empty(old + m, np.int32), np.empty(old + m, np.uint8)
-        tails[new], tails[~fresh] = p, tail
-        shared[new], shared[~fresh] = 0, common
+        tails, shared = np.empty(old + m, np.int64), np.empty(old + m, np.uint8)
+        tails[new], tails[shift] = p, tail
+        shared[new], shared[shift] = 0, common
         edge = edge + cut  # as many smaller symbols came in
         # only a new suffix and the one after it have a new neighbour
         check = np.unique(np.concatenate((new, new[new + 1 < old + m] + 1)))
@@ -148,15 +148,14 @@ def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         shared[check[~same]] = 0
         check = check[same]
         if len(check):
-            lo, hi = tails[check - 1].astype(np.int64) + 1, tails[check].astype(np.int64) + 1
+            lo, hi = tails[check - 1] + 1, tails[check] + 1
             by = np.argsort(lo, kind="stable")
             pairs = np.empty(2 * len(check), np.int64)
             pairs[::2], pairs[1::2] = lo[by], hi[by]
             least = np.minimum.reduceat(np.append(common, np.uint8(0)), pairs)[::2]
             shared[check[by]] = np.minimum(least, LENGTH - 1) + 1
-        shift = np.arange(old, dtype=np.int32) + np.cumsum(np.bincount(ins, minlength=old + 1)[:old], dtype=np.int32)
         tail, common = shift[tails], shared
-        place = shift[place].astype(np.int64)
+        place = shift[place]
         place[live] = new
     return tail, common, place
 
@@ -205,8 +204,8 @@ def _cut_out(src: DataFrame, wanted: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names=["key", "content", "many", "hot", "bytes"])
 
-    one = src.where("text is not null").dropDuplicates(["id"])
-    return arrow_map(one.join(lists, "id").select("text", "wanted"), run, "key bigint, content bigint, many boolean, hot boolean, bytes binary")
+    lists = lists.withColumnRenamed("id", "_id")
+    return arrow_map(src.where("text is not null").join(lists, F.col("id").eqNullSafe(F.col("_id"))).select("text", "wanted"), run, "key bigint, content bigint, many boolean, hot boolean, bytes binary")
 
 
 _HITS = "key bigint, content bigint, start int, end int"
@@ -265,16 +264,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     path = scratch_dir(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     src = extra_columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    by_key, by_class = Window.partitionBy("key"), Window.partitionBy("key", "content")
-    occ = _occurrences(src).withColumn("all", F.count("*").over(by_key)).where(F.col("all") > 1)
-    occ = occ.withColumn("many", F.count("*").over(by_class) > 1).withColumn("turn", F.row_number().over(by_class.orderBy("id", "a")))
-    occ = written(occ.select("id", "a", "n", "key", "content", "many", F.col("turn") == 1, F.sum((F.col("turn") == 1).cast("int")).over(by_key)).toDF("id", "a", "n", "key", "content", "many", "stands", "classes"), f"{path}/occurrences")
-    wanted = occ.where("stands").select("id", "a", "n", "key", "content", "many", (F.col("classes") > hot_contexts).alias("hot"))
+    # counts are partial before each shuffle, so a key or context that fills much of the corpus is one row a task
+    same = _occurrences(src).groupBy("key", "content").agg(F.count("*").alias("times"), F.min("id").alias("first"))
+    by_key = Window.partitionBy("key")
+    same = same.withColumn("all", F.sum("times").over(by_key)).withColumn("classes", F.count("*").over(by_key)).where("all > 1")
+    same = written(same.select("key", "content", (F.col("times") > 1).alias("many"), "first", "classes"), f"{path}/classes")
+    occ = written(_occurrences(src).join(same, ["key", "content"]), f"{path}/occurrences")
+    alone = F.col("many") & (F.col("classes") == 1)  # equal contexts only: nothing to sort them against
+    stands = occ.where(~alone & F.col("id").eqNullSafe(F.col("first"))).groupBy("key", "content").agg(F.min("a").alias("a"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("many").alias("many"), F.first("classes").alias("classes"))
+    wanted = stands.select("id", "a", "n", "key", "content", "many", (F.col("classes") > hot_contexts).alias("hot"))
     texts = written(_cut_out(src, wanted), f"{path}/contexts")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // 15_000))
     hits = _sorted_hits(texts.where("not hot").repartition(parts, "key").sortWithinPartitions("key", "content"))
     hits = hits.unionByName(_counted_hits(texts.where("hot")))
-    spans = occ.join(hits, ["key", "content"]).select("id", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end") - 1 + LENGTH).alias("end"))
+    spans = occ.where(~alone).join(hits, ["key", "content"]).select("id", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end") - 1 + LENGTH).alias("end"))
+    spans = spans.unionByName(occ.where(alone).select("id", F.col("a").alias("start"), (F.col("a") + F.col("n") - 1 + LENGTH).alias("end")))
     spans = written(spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), f"{path}/spans")
     joined = src.join(spans.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "spans")
     names = [id_col, "n_bytes", "spans", "kept"]
