@@ -30,6 +30,7 @@ from gridloom.runtime import scratch_dir, written
 from .common import arrow_map, extra_columns, pieces
 
 LENGTH, GRAM = 200, 50
+HALF = (LENGTH - GRAM) // 2
 #: Bytes of contexts that one construction sorts, and contexts of a key beyond which its windows are counted instead.
 CHUNK, HOT_CONTEXTS = 1_000_000, 20_000
 _POS = np.uint64((1 << 26) - 1)
@@ -76,10 +77,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text index, first window, number of windows, key, content hash) of every context."""
+    """(text index, first window, number of windows, key, content hash, left half, right half) of every context.
+
+    Every window holds the minimiser with HALF bytes on its left or on its right,
+    so a window can only be repeated if one of these two strings is; a context too
+    short on one side has its content hash there.
+    """
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    none = tuple(np.empty(0, np.int64) for _ in range(5))
+    none = tuple(np.empty(0, np.int64) for _ in range(7))
     if len(data) < LENGTH:
         return none
     sums = [p.sums(data) for p in _HASHES]
@@ -101,7 +107,13 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     stop = a + count - 1 + LENGTH
     content = _HASHES[0].of(sums[0], a, stop) + np.uint64(0xC2B2AE3D27D4EB4F) * _HASHES[1].of(sums[1], a, stop) + count.astype(np.uint64)
     begins = np.concatenate(([0], ends[:-1]))
-    return owner[f], a - begins[owner[f]], count, grams[low[f]].view(np.int64), content.view(np.int64)
+    m = low[f]
+    left, right = content.copy(), content.copy()
+    wide = m - a >= HALF
+    left[wide] = _HASHES[1].of(sums[1], m[wide] - HALF, m[wide] + GRAM)
+    wide = stop - m >= GRAM + HALF
+    right[wide] = _HASHES[1].of(sums[1], m[wide], m[wide] + GRAM + HALF)
+    return owner[f], a - begins[owner[f]], count, grams[m].view(np.int64), content.view(np.int64), left.view(np.int64), right.view(np.int64)
 
 
 def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,18 +189,19 @@ def repeated_windows(strings: list[bytes], many: np.ndarray) -> list[tuple[int,
     return list(zip(s.tolist(), a.tolist(), b.tolist(), strict=True))
 
 
-def _occurrences(src: DataFrame) -> DataFrame:
+def _occurrences(src: DataFrame, halves: bool = False) -> DataFrame:
+    names = ["id", "a", "n", "key", "content", *(["left", "right"] if halves else [])]
     kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 256):
                 texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-                owner, a, n, key, content = contexts(texts)
+                owner, *found = contexts(texts)
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(a, pa.int32()), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(content, pa.int64())], names=["id", "a", "n", "key", "content"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(x, pa.int32() if k < 2 else pa.int64()) for k, x in enumerate(found[: len(names) - 1]))], names=names)
 
-    return arrow_map(src, run, f"id {kind}, a int, n int, key bigint, content bigint")
+    return arrow_map(src, run, f"id {kind}, a int, n int, key bigint, content bigint" + ", left bigint, right bigint" * halves)
 
 
 def _cut_out(src: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -269,16 +282,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_key = Window.partitionBy("key")
     same = same.withColumn("all", F.sum("times").over(by_key)).withColumn("classes", F.count("*").over(by_key)).where("all > 1")
     same = written(same.select("key", "content", (F.col("times") > 1).alias("many"), "first", "classes"), f"{path}/classes")
-    occ = written(_occurrences(src).join(same, ["key", "content"]), f"{path}/occurrences")
-    alone = F.col("many") & (F.col("classes") == 1)  # equal contexts only: nothing to sort them against
-    stands = occ.where(~alone & F.col("id").eqNullSafe(F.col("first"))).groupBy("key", "content").agg(F.min("a").alias("a"), F.first("id").alias("id"), F.first("n").alias("n"), F.first("many").alias("many"), F.first("classes").alias("classes"))
+    occ = written(_occurrences(src, halves=True).join(same, ["key", "content"]), f"{path}/occurrences")
+    stands = occ.where((F.col("classes") > 1) & F.col("id").eqNullSafe(F.col("first"))).groupBy("key", "content").agg(F.min("a").alias("a"), *[F.first(c).alias(c) for c in ("id", "n", "many", "classes", "left", "right")])
+    shared = lambda c: F.count("*").over(Window.partitionBy("key", c)) > 1
+    stands = stands.withColumns({"l": shared("left"), "r": shared("right")}).where("l or r")
     wanted = stands.select("id", "a", "n", "key", "content", "many", (F.col("classes") > hot_contexts).alias("hot"))
     texts = written(_cut_out(src, wanted), f"{path}/contexts")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // 15_000))
     hits = _sorted_hits(texts.where("not hot").repartition(parts, "key").sortWithinPartitions("key", "content"))
     hits = hits.unionByName(_counted_hits(texts.where("hot")))
-    spans = occ.where(~alone).join(hits, ["key", "content"]).select("id", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end") - 1 + LENGTH).alias("end"))
-    spans = spans.unionByName(occ.where(alone).select("id", F.col("a").alias("start"), (F.col("a") + F.col("n") - 1 + LENGTH).alias("end")))
+    # a context that occurs again is repeated as a whole; of the others the sort tells which windows are
+    spans = occ.where("not many").join(hits, ["key", "content"]).select("id", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end") - 1 + LENGTH).alias("end"))
+    spans = spans.unionByName(occ.where("many").select("id", F.col("a").alias("start"), (F.col("a") + F.col("n") - 1 + LENGTH).alias("end")))
     spans = written(spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), f"{path}/spans")
     joined = src.join(spans.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "spans")
     names = [id_col, "n_bytes", "spans", "kept"]
