@@ -34,9 +34,11 @@ from .common import arrow_map, extra_columns, pieces
 
 SHINGLE = 5
 #: Documents in the sample for the first order, least count there of a frequent shingle, and most frequent shingles.
-SAMPLE_DOCS, FREQUENT_AT, MOST_FREQUENT = 20_000, 4, 500_000
+SAMPLE_DOCS, FREQUENT_AT, MOST_FREQUENT = 20_000, 3, 500_000
 #: Leaders a bucket in each round, and the size up to which a bucket is exhausted at once.
-LEADERS, SMALL_BUCKET = (1, 8, 64, 512, 4096), 64
+LEADERS, SMALL_BUCKET = (1, 8, 64, 512, 4096), 16
+#: Most ids that are broadcast to pick documents by; more go through a shuffled join.
+BROADCAST_IDS = 2_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 _WORDS: dict[bytes, int] = {}
 
@@ -162,12 +164,15 @@ def full_sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [shingles(x or b"").tobytes() for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    return arrow_map(src.join(wanted, "id", "left_semi"), run, f"id {src.schema['id'].dataType.simpleString()}, tokens binary")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return arrow_map(src.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), run, f"id {src.schema['id'].dataType.simpleString()}, tokens binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of the pairs that link.  Members' sets travel once a pair to their leader ``a``, whose own set comes first and stays."""
+def verified(pairs: DataFrame, src: DataFrame, path: str) -> DataFrame:
+    """(a, b) of the pairs that link, and no others; ``pairs`` is a written table.  Members' sets travel once a pair to their leader ``a``, whose own set comes first and stays."""
     kind = pairs.schema["a"].dataType.simpleString()
+    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{path}-ids")
+    sets = written(full_sets(src, ids), f"{path}-sets")
     rows = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
     rows = rows.join(sets.withColumnRenamed("id", "b"), "b").select("a", "b", "tokens", (F.col("a") != F.col("b")).alias("member"))
     rows = rows.repartition("a").sortWithinPartitions("a", "member").select("a", "b", "tokens")
@@ -201,7 +206,28 @@ def _cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("both").alias("both"), F.max("most").alias("most"), F.max("open").alias("open"))
     # beyond the prefix of the larger set lie at most ceil(0.75 most) - 1 common tokens
     need = F.ceil(F.col("both") * 3 / 7) - (F.ceil(F.col("most") * 3 / 4) - 1)
-    return pairs.where(F.col("shared") + F.col("open") >= need).select("a", "b")
+    return pairs.where(F.col("shared") + F.col("open") >= need).select("a", "b", "shared")
+
+
+def _late_pairs(rows: DataFrame, leaders: int) -> DataFrame:
+    """The same for buckets left over: each pair once, at its first common bucket, and only with enough common buckets.
+
+    Pairs that meet in a small bucket are settled by then, and buckets of one
+    component hold no pair that is still apart, so the common buckets among
+    ``rows`` are all prefix tokens that such a pair shares.
+    """
+    lists = rows.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("list"))
+    rows = rows.join(lists, "id")
+    side = lambda df, k: df.select("token", *[F.col(c).alias(c + k) for c in ("id", "n", "rank", "component", "list")])
+    a, b = side(rows.where(F.col("rank") <= leaders), "_a"), side(rows, "_b")
+    common = F.array_intersect("list_a", "list_b")
+    most = F.greatest("n_a", "n_b")
+    need = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7) - (F.ceil(most * 3 / 4) - 1)
+    near = (F.col("rank_a") < F.col("rank_b")) & (F.col("component_a") != F.col("component_b")) & (4 * F.least("n_a", "n_b") >= 3 * most)
+    once = (F.get(common, 0) == F.col("right_token")) & (F.size(common) >= need)
+    b = b.withColumnRenamed("token", "right_token")
+    pairs = a.join(b, (F.col("token") == F.col("right_token")) & near & once)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,29 +252,42 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     weight = rows.groupBy("id").agg(F.sum(F.least("size", F.lit(10_000))).alias("weight"))
     rows = rows.join(weight, "id").withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "id")))
     rows = written(rows.select("token", "id", "n", "size", "rank"), f"{path}/ranked")
-    sets = written(full_sets(src, rows.select("id").distinct()), f"{path}/sets")
+
+    def counted(split: DataFrame, leaders: int) -> DataFrame:
+        left_open = (F.col("size") > SMALL_BUCKET) & (F.col("size") > leaders)
+        opened = split.groupBy("id").agg(F.sum(left_open.cast("int")).alias("open"))
+        return _cross_pairs(split.join(opened, "id"), leaders)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are not yet known to be connected."""
+        own = components.select("node", "component")
+        pairs = pairs.join(own.toDF("a", "ca"), "a", "left").join(own.toDF("b", "cb"), "b", "left")
+        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+    # first every document with the partner that shares most of its prefix, then what is still apart
+    likely = written(counted(rows.withColumn("component", F.col("id")), LEADERS[0]), f"{path}/likely")
+    each = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    best = each.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("first"), "a")).alias("s")).select("s.a", "b")
+    best = best.join(best.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a > b"), ["a", "b"], "left_anti")
     found = tested = None
-    components = None
-    reach = 0
-    for k, leaders in enumerate([*LEADERS, *(LEADERS[-1] * 8**i for i in range(1, 12))]):
+    for k, leaders in enumerate([0, *LEADERS, *(LEADERS[-1] * 8**i for i in range(1, 12))]):
         if k == 0:
-            first = rows.where("rank = 1").select("token", F.col("id").alias("a"), F.col("n").alias("na"))
-            pairs = rows.where("rank > 1").join(first, "token").where(4 * F.least("na", "n") >= 3 * F.greatest("na", "n")).select("a", F.col("id").alias("b")).distinct()
+            pairs = best
+        elif k == 1:
+            pairs = apart(likely.select("a", "b"))
         else:
-            split = rows.join(components, rows["id"] == components["node"], "left").select("token", "id", "n", "size", "rank", F.coalesce("component", "id").alias("component"))
-            mixed = split.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-            if k > 1:
-                mixed = mixed.join(rows.where(F.col("rank") > reach).select("token").distinct(), "token", "left_semi")
-            if k > 1 and mixed.isEmpty():
+            split = rows.where(F.col("size") > SMALL_BUCKET).join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            mixed = split.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("most")).where("lo <> hi").select("token", "most")
+            mixed = written(mixed, f"{path}/mixed{k}")
+            if mixed.where(F.col("most") > reach).isEmpty():
                 break
-            split = split.join(mixed, "token", "left_semi")
-            left_open = (F.col("size") > SMALL_BUCKET) & (F.col("size") > leaders)
-            opened = split.groupBy("id").agg(F.sum(left_open.cast("int")).alias("open"))
-            pairs = _cross_pairs(split.join(opened, "id"), leaders)
+            # exhausted buckets stay in, as pairs are counted over all their common ones
+            pairs = _late_pairs(split.join(mixed, "token", "left_semi"), leaders)
+        if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        reach = max(SMALL_BUCKET, leaders) if k else 0
+        reach = max(SMALL_BUCKET, leaders)
         pairs = written(pairs, f"{path}/pairs{k}")
-        links_now = verified(pairs, sets)
+        links_now = verified(pairs, src, f"{path}/round{k}")
         found = written(links_now if found is None else found.unionByName(links_now), f"{path}/links{k}")
         order = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         tested = order if tested is None else tested.unionByName(order)
