@@ -33,7 +33,7 @@ from gridloom.runtime import scratch_dir, ship, written
 from .common import arrow_map, extra_columns
 
 #: Tokens a block at least, tokens a partition of the tables, and the largest count that is discounted.
-BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 1_200_000, 2_500_000, 5
+BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 2_400_000, 2_500_000, 5
 BEGIN, END = 1, 2  # hashes of the two marks; a word's hash is never below 16
 
 
@@ -270,9 +270,9 @@ def backoff_weights(table: DataFrame, answers: DataFrame, parts: int, unigrams:
             g = unpack_ints(gids)
             i = np.minimum(np.searchsorted(known, g), max(len(known) - 1, 0))
             hit = known[i] == g if len(known) else np.zeros(len(g), bool)
-            a, b = np.zeros(len(g)), np.ones(len(g))
+            a, b = np.zeros(len(g), np.int64), np.ones(len(g))
             a[hit], b[hit] = denominator[i[hit]], weight[i[hit]]
-            rows.append((block, slots, gids, counts, pack(a), pack(b)))
+            rows.append((block, slots, gids, counts, pack_ints(a), pack(b)))
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), *[pa.binary()] * 5), strict=True)], names=["block", "slots", "gids", "counts", "denominator", "weight"])
 
     schema = "block string, slots binary, gids binary, counts binary, denominator binary, weight binary"
@@ -327,7 +327,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 denominator, weight = np.zeros(len(b.gid)), np.ones(len(b.gid))
                 for a in row["answers"]:
                     s = unpack_ints(a["slots"])
-                    denominator[s], weight[s] = unpack(a["denominator"], np.float64), unpack(a["weight"], np.float64)
+                    denominator[s], weight[s] = unpack_ints(a["denominator"]), unpack(a["weight"], np.float64)
                 lower = unigrams(b.count)
                 higher = discounted(seen, d) / np.maximum(denominator[b.h], 1)
                 log = np.log10(np.where(seen > 0, higher, weight[b.h] * lower[b.w]))[b.at]
