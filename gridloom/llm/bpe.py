@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, extra_columns, pieces, texts
 
-MAX_STATES = 120_000
-MAX_PIECES = 120_000
+MAX_STATES = 220_000
+MAX_PIECES = 250_000
 #: A pre-token pattern and one for ``re`` that splits texts of SAFE characters alike, several times as fast.
 FAST = {
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+",
