@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map, extra_columns, pieces, texts
 
-MAX_STATES = 220_000
-MAX_PIECES = 250_000
+MAX_STATES = 160_000
+MAX_PIECES = 200_000
+#: Ids that the streaming decoder takes at once.
+CHUNK = 4096
 #: A pre-token pattern and one for ``re`` that splits texts of SAFE characters alike, several times as fast.
 FAST = {
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+": r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+",
@@ -90,7 +92,7 @@ class Transducer:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 4 * self.max_states:
+            if len(self.pairs) > 2 * self.max_states:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._apart(left, right)
         return known
@@ -154,8 +156,7 @@ class Transducer:
         s = self.states.get(key)
         if s is None:
             s = self.states[key] = State()
-            s.previous, s.pending, s.lasts = previous, pending, lasts
-            s.final = self._emit(self._chain(len(pending), lasts), pending, lasts)
+            s.previous, s.pending, s.lasts, s.final = previous, pending, lasts, None
         return s
 
     def step(self, s: State, byte: int) -> tuple[State, list[int]]:
@@ -182,7 +183,7 @@ class Transducer:
             chain = self._chain(k, lasts)
             kept.update(chain)
             shared.intersection_update(chain)
-        certain, out, previous = max(shared, default=0), [], s.previous
+        certain, out, previous = max(shared, default=0), (), s.previous
         if certain:
             out = self._emit(self._chain(certain, lasts), pending, lasts)
             previous = out[-1]
@@ -206,6 +207,8 @@ class Transducer:
             s = arc[0]
             if arc[1]:
                 out += arc[1]
+        if s.final is None:
+            s.final = self._emit(self._chain(len(s.pending), s.lasts), s.pending, s.lasts)
         return out + s.final
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -249,7 +252,7 @@ def decode_stream(machine: Transducer, chunks: Iterable[Iterable[int]]) -> Itera
 
 
 class PieceCache:
-    """Results for pre-tokens that this worker has met, in two generations.
+    """Token ids of pre-tokens that this worker has met, in two generations.
 
     When the young one is full it becomes the old one; what is asked for again
     moves back.  So the size is bounded and frequent pre-tokens stay.
@@ -257,14 +260,14 @@ class PieceCache:
 
     def __init__(self, machine: Transducer, most: int = MAX_PIECES):
         self.machine, self.most, self.known, self.old = machine, most, {}, {}
+        self.decimals = {i: str(i) for i in machine.tokens}
 
-    def __call__(self, piece: str) -> tuple[list[int], str, bytes]:
+    def __call__(self, piece: str) -> tuple[int, ...]:
         got = self.known.get(piece)
         if got is None:
             got = self.old.get(piece)
             if got is None:
-                ids = self.machine.encode(piece.encode())
-                got = (ids, " ".join(map(str, ids)), self.machine.decode(ids))
+                got = tuple(self.machine.encode(piece.encode()))
             if len(piece) <= 64:
                 if len(self.known) >= self.most:
                     self.old = self.known.copy()
@@ -320,23 +323,22 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece, find = worker_tools(*shared.value)
-        get = piece.known.get
+        get, decimal = piece.known.get, piece.decimals.__getitem__
         for whole in batches:
             for batch in pieces(whole):
                 cols: dict[str, list] = {o: [] for o in outputs}
                 for text in texts(batch.column(1)):
-                    got = [get(p) or piece(p) for p in find(text)]
+                    ids = [i for p in find(text) for i in get(p) or piece(p)]
                     if "n_tokens" in cols:
-                        cols["n_tokens"].append(sum([len(g[0]) for g in got]))
+                        cols["n_tokens"].append(len(ids))
                     if "ids" in cols:
-                        cols["ids"].append([i for g in got for i in g[0]])
+                        cols["ids"].append(ids)
                     if "ids_sha256" in cols:
-                        cols["ids_sha256"].append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
+                        cols["ids_sha256"].append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
                     if "decoded_sha256" in cols:
-                        cols["decoded_sha256"].append(hashlib.sha256(b"".join([g[2] for g in got])).hexdigest())
+                        cols["decoded_sha256"].append(hashlib.sha256(piece.machine.decode(ids)).hexdigest())
                     if "decoded" in cols:
-                        utf8 = Utf8Machine()
-                        cols["decoded"].append("".join([utf8.feed(g[2]) for g in got]) + utf8.close())
+                        cols["decoded"].append("".join(decode_stream(piece.machine, (ids[k : k + CHUNK] for k in range(0, len(ids), CHUNK)))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], arrow[o]) for o in outputs)], names=[id_col, *outputs])
 
     return arrow_map(src, run, schema)

@@ -8,7 +8,7 @@ are found first, by array operations, so the automaton only walks those.
 
 The benchmark is read to the driver in blocks of at most BLOCK_CHARS
 characters; each block is one automaton, broadcast, and one narrow pass over the
-documents.  Memory is bounded by the block whatever the benchmark's size, and no
+documents; between blocks the passes' results are written.  Memory is bounded by the block whatever the benchmark's size, and no
 document is shuffled.
 """
 
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import scratch_dir, written
+
 from .common import arrow_map, extra_columns, pieces
 
 WINDOW = 10
@@ -236,20 +238,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     base = list(src.columns)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
-    out = src
-    for block in item_blocks(benchmark, item_col, item_text, block_chars):
+    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in base), kinds])
+    at = base.index(text_col)
+    blocks = item_blocks(benchmark, item_col, item_text, block_chars)
+    block, out, done = next(blocks), src, 0
+    while block is not None:
+        after = next(blocks, None)
         shared = spark.sparkContext.broadcast((block, window))
-        first = out is src
-        schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in base), kinds])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=not done, cut=keep_text and after is None) -> Iterator[pa.RecordBatch]:
             automaton = SuffixAutomaton(*shared.value)
-            at = base.index(text_col)
             for whole in batches:
                 for batch in pieces(whole):
-                    texts = [x or b"" for x in batch.column(at).cast(pa.large_binary()).to_pylist()]
+                    column = batch.column(at)
+                    texts = [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
                     n, n_hit, items, spans = [], [], [], []
                     before = None if first else (batch.column(len(base) + 2).to_pylist(), batch.column(len(base) + 3).to_pylist())
+                    clean = column.to_pylist() if cut else []
                     for k, (count, hits, found) in enumerate(automaton.search(texts)):
                         if before:
                             found |= set(before[0][k])
@@ -259,25 +264,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                         n_hit.append(sum(e - s for s, e in hits))
                         items.append(sorted(found))
                         spans.append([{"start": s, "end": e} for s, e in hits])
+                        if cut and (long := [(s, e) for s, e in hits if e - s >= least_span]):
+                            clean[k] = cut_words(texts[k], long).decode()
+                    kept = [pa.array(clean, pa.string()) if cut and i == at else batch.column(i) for i in range(len(base))]
                     yield pa.RecordBatch.from_arrays(
-                        [*(batch.column(i) for i in range(len(base))), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)],
+                        [*kept, pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)],
                         names=[*base, *made],
                     )
 
         out = arrow_map(out, run, schema)
-    if not keep_text:
-        return out.select(id_col, *made)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = base.index(text_col)
-        for batch in batches:
-            col = batch.column(at).to_pylist()
-            for k, spans in enumerate(batch.column(len(base) + 3).to_pylist()):
-                if long := [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] >= least_span]:
-                    col[k] = cut_words(col[k].encode(), long).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(col, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
-
-    return arrow_map(out, cut, schema)
+        if after is not None:  # one automaton at a time: chained passes would each keep a worker with its own
+            out = written(out, f"{scratch_dir(spark)}/block{done}")
+        block, done = after, done + 1
+    return out if keep_text else out.select(id_col, *made)
 
 
 def items_digest(names: list[str]) -> str:
