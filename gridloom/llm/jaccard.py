@@ -155,6 +155,12 @@ def prefix_tokens(src: DataFrame, frequent: np.ndarray) -> DataFrame:
     return arrow_map(src, run, f"token bigint, id {src.schema['id'].dataType.simpleString()}, n int")
 
 
+def picked(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``src`` whose id is in ``ids``, a written table; a counted, bounded table of ids is broadcast."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return src.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
 def full_sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, tokens binary) of the documents whose ids are in ``wanted``."""
 
@@ -164,8 +170,7 @@ def full_sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = [shingles(x or b"").tobytes() for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
 
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return arrow_map(src.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), run, f"id {src.schema['id'].dataType.simpleString()}, tokens binary")
+    return arrow_map(picked(src, wanted), run, f"id {src.schema['id'].dataType.simpleString()}, tokens binary")
 
 
 def verified(pairs: DataFrame, src: DataFrame, path: str) -> DataFrame:
@@ -244,8 +249,9 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(keys.where("key is not null").groupBy("key", "n").agg(F.min("id").alias("rep")), f"{path}/classes")
     late = frequent_shingles(src, keys.count())
     per_token = Window.partitionBy("token")
-    rows = prefix_tokens(src, late).withColumn("size", F.count("*").over(per_token)).where("size > 1")
-    rows = rows.join(classes.select(F.col("rep").alias("id")).where("id is not null"), "id", "left_semi").select("token", "id", "n").distinct()
+    # one shuffle: what follows the first window keeps its partitioning by token
+    rows = prefix_tokens(picked(src, classes.select(F.col("rep").alias("id")).where("id is not null")), late)
+    rows = rows.withColumn("size", F.count("*").over(per_token)).where("size > 1").select("token", "id", "n").distinct()
     rows = rows.withColumn("size", F.count("*").over(per_token)).where("size > 1")
     rows = written(rows, f"{path}/buckets")
     # central documents lead: those whose tokens are shared most
