@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import scratch_dir, written
+
 
 def range_join(left: DataFrame, right: DataFrame, radius: float, *, lx="x", ly="y", rx="x2", ry="y2", by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within ``radius`` (inclusive) with their distance ``d``; column names of the sides are distinct but for ``by``."""
@@ -16,6 +21,29 @@ def range_join(left: DataFrame, right: DataFrame, radius: float, *, lx="x", ly="
     return a.join(b, [*by, "_cx", "_cy"]).drop("_cx", "_cy").withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)
 
 
+def nearest(left: DataFrame, right: DataFrame, key: str, other: str, *, within: float = float("inf"), start: float = 32.0) -> DataFrame:
+    """(key, other, d): for each row of ``left`` (key, x, y) the nearest of ``right`` (other, x2, y2), smallest ``other`` on ties.
+
+    Searches with doubling radius: whatever has a neighbour within the radius has
+    its nearest one, and only the rest goes on.  The rounds reach over the extent
+    of both sides, or ``within`` (inclusive).  Points without coordinates find nothing.
+    """
+    box = left.select("x", "y").unionByName(right.select(F.col("x2").alias("x"), F.col("y2").alias("y"))).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).first()
+    reach = min(within, math.hypot(box.w or 0.0, box.h or 0.0) + 1.0)
+    path, parts, radius = scratch_dir(left.sparkSession), [], min(start, reach)
+    while True:
+        hit = range_join(left, right, radius).groupBy(key).agg(F.min(F.struct("d", other)).alias("_s")).select(key, f"_s.{other}", "_s.d")
+        if radius >= reach:
+            parts.append(hit)
+            break
+        parts.append(written(hit, f"{path}/{len(parts)}"))  # read twice: cut, so that no round repeats the ones before
+        left = left.join(parts[-1].select(key), key, "left_anti")
+        if left.isEmpty():
+            break
+        radius = min(2 * radius, reach)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dbscan_one(points: DataFrame, radius: float, *, key: str = "id") -> DataFrame:
     """``points`` (key, x, y) with ``cluster``: the smallest key of its eps-connected component (one point is enough)."""
     from .components import connected_components
