@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom import refdata as R
 from gridloom.functions import geometry as G
 from gridloom.operators import routing
 from gridloom.operators.components import connected_components
+from gridloom.operators.network import repair_networks
+from gridloom.operators.planar import COORDINATES, overlapping_boxes, planarise
 from gridloom.operators.rangejoin import dbscan_one, nearest, range_join
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -189,15 +191,22 @@ def special_crossings_agg(spark, sf_dir):
 
 @query(f"SELECT a.a, a.b, count(*) AS crossings FROM {SEGMENTS} a JOIN {SEGMENTS} b ON (a.a <> b.a OR a.b <> b.b) WHERE sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0 AND sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0 GROUP BY a.a, a.b")
 def crossing_pairs(spark, sf_dir):
-    s = _segments(spark, sf_dir)
-    size = 150.0
-    cells = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-    s = s.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
-    t = s.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("a", "b", "x1", "y1", "x2", "y2")])
-    one = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    two = tuple(F.col(f"o_{c}") for c in ("x1", "y1", "x2", "y2"))
-    j = s.join(t, ["cx", "cy"]).where("(a <> o_a OR b <> o_b)").where(G.segments_cross(one, two))
-    return j.select("a", "b", "o_a", "o_b").distinct().groupBy("a", "b").agg(F.count("*").alias("crossings"))
+    s = _segments(spark, sf_dir).withColumn("id", F.struct("a", "b"))
+    one = tuple(F.col(c) for c in COORDINATES)
+    two = tuple(F.col(f"o_{c}") for c in COORDINATES)
+    return overlapping_boxes(s, 50.0).where(G.segments_cross(one, two)).groupBy("id.a", "id.b").agg(F.count("*").alias("crossings"))
+
+
+CROSS_T = "((q.x1 - p.x1) * (q.y2 - q.y1) - (q.y1 - p.y1) * (q.x2 - q.x1)) / d"
+CROSS_W = "((q.x1 - p.x1) * (p.y2 - p.y1) - (q.y1 - p.y1) * (p.x2 - p.x1)) / d"
+
+
+@query(f"""WITH j AS (SELECT p.a, p.b, {CROSS_T} AS t, {CROSS_W} AS w FROM {SEGMENTS} p JOIN {SEGMENTS} q ON (p.a <> q.a OR p.b <> q.b), LATERAL (SELECT (p.x2 - p.x1) * (q.y2 - q.y1) - (p.y2 - p.y1) * (q.x2 - q.x1) AS d) e WHERE d <> 0),
+c AS (SELECT a, b, count(DISTINCT round(t, 9)) AS cuts FROM j WHERE t > 1e-9 AND t < 1 - 1e-9 AND w BETWEEN -1e-9 AND 1 + 1e-9 GROUP BY a, b)
+SELECT s.a, s.b, 1 + coalesce(cuts, 0) AS pieces, round(sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)), 3) AS total FROM {SEGMENTS} s LEFT JOIN c USING (a, b)""")
+def planar_pieces(spark, sf_dir):
+    s = _segments(spark, sf_dir).withColumn("id", F.struct("a", "b"))
+    return planarise(s, 50.0).groupBy("id.a", "id.b").agg(F.count("*").alias("pieces"), F.round(F.sum(G.distance("x1", "y1", "x2", "y2")), 3).alias("total"))
 
 
 statement("topk_corners", f"SELECT brand, id, place FROM (SELECT p_brand AS brand, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY sqrt(({px('p_partkey')} - 500) * ({px('p_partkey')} - 500) + ({py('p_partkey')} - 500) * ({py('p_partkey')} - 500)), p_partkey) AS place FROM $part) t WHERE place <= 5")
@@ -284,6 +293,39 @@ def chain_walk(spark, sf_dir):
 statement("azimuth_split", f"""WITH a AS (SELECT s_nationkey AS node, s_suppkey AS wheel, atan2(CAST({px('s_suppkey')} - {px('s_nationkey')} AS DOUBLE), CAST({py('s_suppkey')} - {py('s_nationkey')} AS DOUBLE)) AS az FROM $supplier),
 r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END, wheel) AS i, count(*) OVER (PARTITION BY node) AS n FROM a)
 SELECT node, wheel, i, CASE WHEN i = 1 OR i = floor(n / 3) + 1 OR i = floor(2 * n / 3) + 1 THEN 'keep' ELSE 'move' END AS what FROM r WHERE n > 4""")
+def _variants(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A network a nation: customers are consumers, suppliers tie-ins; each customer runs pipes to its two nearest nodes of the nation."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    nodes = points(c, "c_custkey").join(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("variant"), (F.abs("c_acctbal") / 100).alias("flow")), "id").withColumn("kind", F.lit("oks"))
+    ties = points(s, "s_suppkey").join(s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("variant")), "id").select((-F.col("id")).alias("id"), "x", "y", "variant", F.lit(0.0).alias("flow"), F.lit("existing_tie_in").alias("kind"))
+    nodes = nodes.unionByName(ties)
+    near = range_join(nodes.where("kind = 'oks'").select("variant", F.col("id").alias("a"), "x", "y", "flow"), nodes.select("variant", F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), 400.0, by=("variant",)).where("a <> b")
+    place = Window.partitionBy("variant", "a").orderBy("d", "b")
+    pipes = near.withColumn("place", F.row_number().over(place)).where("place <= 2").select("variant", (F.col("a") * 2 + F.col("place")).alias("id"), "a", "b", "flow", F.lit(1.0).alias("k"))
+    return nodes.select("variant", "id", "x", "y", "kind"), pipes
+
+
+@query()
+def network_repair(spark, sf_dir):
+    """The repaired, sized and priced network of each nation, totals by variant."""
+    out = repair_networks(*_variants(spark, sf_dir))
+    segment, node = F.col("what") == "segment", F.col("what") == "node"
+    return out.groupBy("variant").agg(F.count_if(node).alias("nodes"), F.count_if(segment).alias("segments"), F.round(F.sum(F.when(segment, F.col("length"))), 2).alias("length_m"), F.round(F.sum("cost"), 0).alias("cost"), F.max("degree").alias("degree"), F.max("diameter").alias("diameter"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS crossings, CAST(0 AS BIGINT) AS overloaded, CAST(0 AS BIGINT) AS unsized")
+def network_invariants(spark, sf_dir):
+    """Faults that are left after the repair: pipes that cross inside each other, nodes of degree above 4, pipes without a diameter."""
+    out = repair_networks(*_variants(spark, sf_dir))
+    bends = out.where("what = 'segment'").select("variant", "id", F.col("line").alias("p"), F.posexplode(F.slice("line", 1, F.size("line") - 1)).alias("i", "s")).withColumn("e", F.element_at("p", F.col("i") + 2))
+    # variants are laid side by side, so that only pipes of one variant can meet
+    side = F.col("variant") * 1e5
+    lines = bends.select(F.struct("variant", "id", "i").alias("id"), (F.col("s.x") + side).alias("x1"), F.col("s.y").alias("y1"), (F.col("e.x") + side).alias("x2"), F.col("e.y").alias("y2"))
+    crossing = overlapping_boxes(lines, 100.0).where(G.segments_cross(tuple(F.col(c) for c in COORDINATES), tuple(F.col(f"o_{c}") for c in COORDINATES)))
+    faults = [crossing.select(F.lit("crossings").alias("what")), out.where("degree > 4").select(F.lit("overloaded")), out.where("what = 'segment' and coalesce(diameter, 0) = 0").select(F.lit("unsized"))]
+    return faults[0].union(faults[1]).union(faults[2]).agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("crossings", "overloaded", "unsized")])
+
+
 statement("orphan_cleanup", "SELECT c_custkey FROM $customer c WHERE EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey) AND NOT EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 statement("diameter_lookup", f"SELECT l_orderkey, l_linenumber, coalesce(min(CASE WHEN capacity >= l_quantity * 10 THEN diameter END), 1400) AS diameter FROM $lineitem CROSS JOIN {VALUES_D} GROUP BY l_orderkey, l_linenumber")
 statement("length_runs", """WITH d AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_suppkey % 3 AS diameter, l_quantity AS length FROM $lineitem),
