@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.runtime import scratch_dir, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which names are registered.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
@@ -71,7 +73,7 @@ def _strength(level: DataFrame) -> DataFrame:
 
 def _shrunk(level: DataFrame) -> DataFrame:
     """Adds alpha and beta of the posterior and its mean, given prior_mean."""
-    both = level.crossJoin(F.broadcast(_strength(level)))  # one row on the right
+    both = level.withColumn("strength", _strength(level).scalar())
     both = both.withColumn("alpha", F.col("strength") * F.col("prior_mean") + F.col("bad")).withColumn("beta", F.col("strength") * (1 - F.col("prior_mean")) + F.col("n") - F.col("bad"))
     return both.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
@@ -82,14 +84,16 @@ def host_reputation(outcomes: DataFrame, *, z: float = Z) -> DataFrame:
     Null outcomes are left out; repeated rows count each time; the empty host is a
     host like any other.  No rows give no hosts.
     """
+    path = scratch_dir(outcomes.sparkSession)
     hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
-    hosts = with_domain_and_suffix(hosts)
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # each level is read for its strength, its posteriors and the level below: written, it is counted once
+    hosts = written(with_domain_and_suffix(hosts), f"{path}/hosts")
+    domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{path}/domains")
+    suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{path}/suffixes")
     total = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior_mean"))
-    top = _shrunk(suffixes.crossJoin(F.broadcast(total))).select("suffix", F.col("mean").alias("prior_mean"))
-    mid = _shrunk(domains.join(top, "suffix")).select("suffix", "domain", F.col("mean").alias("prior_mean"))
-    low = _shrunk(hosts.join(mid, ["suffix", "domain"]))
+    top = _shrunk(suffixes.withColumn("prior_mean", total.scalar())).select("suffix", F.col("mean").alias("prior_mean"))
+    mid = _shrunk(written(domains.join(top, "suffix"), f"{path}/domain_priors")).select("suffix", "domain", F.col("mean").alias("prior_mean"))
+    low = _shrunk(written(hosts.join(mid, ["suffix", "domain"]), f"{path}/host_priors"))
     size = F.col("alpha") + F.col("beta")
     sd = F.sqrt(F.col("alpha") * F.col("beta") / (size * size * (size + 1)))
     return low.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("bound"))
