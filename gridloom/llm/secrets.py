@@ -3,7 +3,8 @@
 A random string falls apart under a subword vocabulary: it needs a token for
 every one or two characters, where words and names need one for three or more.
 Runs of key characters with few characters per token, which are neither a known
-kind of digest nor an identifier, are reported as ``random``.
+kind of digest nor an identifier, are reported as ``random``.  A run with the
+form of an identifier is judged by those of its parts that are not like words.
 """
 
 from __future__ import annotations
@@ -33,6 +34,12 @@ IDENTIFIER = re.compile(
     r"|[A-Za-z][a-z]+(?:[A-Z][a-z]+)+[0-9]{0,4})",  # camel case
     re.IGNORECASE * 0,
 )
+UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
+MARKS = re.compile(r"[_=+/-]+")
+#: A part of a run that is like a word: letters in one case or camel case with at most a short number.
+WORD = re.compile(r"(?:[a-z]+|[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*)[0-9]{0,4}")
+#: Characters from which a word is judged by its tokens, and from which the parts that are not like words are.
+LONG_WORD, LEAST_ODD = 12, 12
 #: A run of fewer characters per token than this looks random.
 LEAST_RATIO = 2.2
 #: To bytes: key characters become "h", hexadecimal digits too in the second, all others a space.
@@ -53,18 +60,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def looks_random(run: str, tokens: int, least_ratio: float = LEAST_RATIO) -> bool:
-    """The token-efficiency test of one run, given its length in tokens."""
-    if IDENTIFIER.fullmatch(run) or len(run) in DIGESTS and all(c in "0123456789abcdefABCDEF" for c in run):
+def is_digest(run: str) -> bool:
+    return len(run) in DIGESTS and all(c in "0123456789abcdefABCDEF" for c in run)
+
+
+def looks_random(run: str, count, least_ratio: float = LEAST_RATIO) -> bool:
+    """The token-efficiency test of one run; ``count`` gives the tokens of a string.
+
+    A run that has not the form of an identifier is judged whole.  All others, and
+    those that words make pass as a whole, are judged by their parts between marks
+    that are not like words, if these have LEAST_ODD characters together.
+    """
+    if is_digest(run):
         return False
-    return len(run) < least_ratio * tokens
+    if not IDENTIFIER.fullmatch(run) and len(run) < least_ratio * count(run):
+        return True
+    if ACCESS.fullmatch(run):
+        return False  # letters only, and reported as an access key already
+    odd = size = 0
+    for part in MARKS.split(UUID.sub("", run)):
+        if not part or part.isdigit() or is_digest(part):
+            continue
+        if len(part) < LONG_WORD and WORD.fullmatch(part):
+            continue
+        tokens = count(part)
+        if WORD.fullmatch(part) and len(part) >= least_ratio * tokens:
+            continue
+        odd, size = odd + tokens, size + len(part)
+    return size >= LEAST_ODD and size < least_ratio * odd
 
 
 def method_spans(text: str, count, least_ratio: float = LEAST_RATIO) -> list[tuple[int, int, str]]:
     """Spans that the token-efficiency test adds; ``count`` gives a run's tokens."""
     if b"h" * 20 not in text.encode().translate(_RUN_MAP):
         return []
-    return [(m.start(), m.end(), "random") for m in RUN.finditer(text) if looks_random(m[0], count(m[0]), least_ratio)]
+    return [(m.start(), m.end(), "random") for m in RUN.finditer(text) if looks_random(m[0], count, least_ratio)]
 
 
 def ordered(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
