@@ -72,8 +72,8 @@ def _strength(level: DataFrame) -> DataFrame:
 
 
 def _shrunk(level: DataFrame) -> DataFrame:
-    """Adds alpha and beta of the posterior and its mean, given prior_mean."""
-    both = level.withColumn("strength", _strength(level).scalar())
+    """Adds alpha and beta of the posterior and its mean, given prior_mean; the strength comes from rows with outcomes."""
+    both = level.withColumn("strength", _strength(level.where("n > 0")).scalar())
     both = both.withColumn("alpha", F.col("strength") * F.col("prior_mean") + F.col("bad")).withColumn("beta", F.col("strength") * (1 - F.col("prior_mean")) + F.col("n") - F.col("bad"))
     return both.withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta")))
 
@@ -81,19 +81,22 @@ def _shrunk(level: DataFrame) -> DataFrame:
 def host_reputation(outcomes: DataFrame, *, z: float = Z) -> DataFrame:
     """Posterior per host from (host, bad 0/1) rows: host, n, bad, mean, bound.
 
-    Null outcomes are left out; repeated rows count each time; the empty host is a
-    host like any other.  No rows give no hosts.
+    Null outcomes are not counted; repeated rows count each time; the empty host is
+    a host like any other.  A host without outcomes has the mean of its domain, of
+    its suffix if the domain has none either, and the strength of all hosts; where
+    the suffix has none too, the host is left out.  No rows give no hosts.
     """
     path = scratch_dir(outcomes.sparkSession)
-    hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").cast("long").alias("bad"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
     # each level is read for its strength, its posteriors and the level below: written, it is counted once
     hosts = written(with_domain_and_suffix(hosts), f"{path}/hosts")
-    domains = written(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{path}/domains")
+    domains = written(hosts.where("n > 0").groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{path}/domains")
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), f"{path}/suffixes")
     total = suffixes.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1)).alias("prior_mean"))
     top = _shrunk(suffixes.withColumn("prior_mean", total.scalar())).select("suffix", F.col("mean").alias("prior_mean"))
-    mid = _shrunk(written(domains.join(top, "suffix"), f"{path}/domain_priors")).select("suffix", "domain", F.col("mean").alias("prior_mean"))
-    low = _shrunk(written(hosts.join(mid, ["suffix", "domain"]), f"{path}/host_priors"))
+    mid = _shrunk(written(domains.join(top, "suffix"), f"{path}/domain_priors")).select("suffix", "domain", F.col("mean").alias("domain_mean"))
+    priors = hosts.join(mid, ["suffix", "domain"], "left").join(top, "suffix", "left").withColumn("prior_mean", F.coalesce("domain_mean", "prior_mean")).drop("domain_mean")
+    low = _shrunk(written(priors.where(F.col("prior_mean").isNotNull()), f"{path}/host_priors"))
     size = F.col("alpha") + F.col("beta")
     sd = F.sqrt(F.col("alpha") * F.col("beta") / (size * size * (size + 1)))
     return low.select("host", "n", "bad", "mean", (F.col("mean") - z * sd).alias("bound"))
@@ -104,14 +107,16 @@ def filter_urls(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id",
 
     ``labels`` has an outcome for some page ids; ``bad`` tells which are bad
     (toxic or of low quality).  Where no rule fits, a page is blocked if its
-    host's posterior bound exceeds ``limit``; hosts without labels are allowed.
+    host's posterior bound exceeds ``limit``; a host without labels has the bound
+    of its domain's or suffix's prior, and is allowed if these have no labels.
     Null urls have empty host and path.  Repeated pages are each judged; repeated
     labels count each time; null ids match no label; extra columns are ignored.
     """
     bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)) if bad is None else bad
     src = with_host_and_path(pages.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{url_col}`").alias("url")), "url").drop("url")
     marks = labels.select(F.col(f"`{label_id}`").alias(id_col), bad.cast("int").alias("bad"))
-    reputation = host_reputation(src.join(marks, id_col).select("host", "bad"), z=z).select("host", "bound")
+    outcomes = src.join(marks, id_col).select("host", "bad").unionByName(src.select("host", F.lit(None).cast("int").alias("bad")))
+    reputation = host_reputation(outcomes, z=z).select("host", "bound")
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > limit, "block").otherwise("allow")
     return src.join(reputation, "host", "left").select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bound")
