@@ -33,6 +33,8 @@ LENGTH, GRAM = 200, 50
 HALF = (LENGTH - GRAM) // 2
 #: Bytes of contexts that one construction sorts, and contexts of a key beyond which its windows are counted instead.
 CHUNK, HOT_CONTEXTS = 1_000_000, 20_000
+#: Windows of a text, and about as many bytes, whose minimisers are found at once; low bits of a hash that hold a place among them.
+BLOCK = 1 << 20
 _POS = np.uint64((1 << 26) - 1)
 
 
@@ -79,6 +81,33 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """(text index, first window, number of windows, key, content hash, left half, right half) of every context.
 
+    Longer texts are cut into blocks that overlap by less than a window, so that
+    every window is in one block and has the minimiser that it has in the text; a
+    context that goes on in the next block becomes two of the same key.
+    """
+    found, names, begins, blocks, size = [], [], [], [], 0
+
+    def flush() -> None:
+        owner, first, *rest = _contexts_of_blocks(blocks)
+        found.append((np.array(names, np.int64)[owner], first + np.array(begins, np.int64)[owner], *rest))
+
+    for i, text in enumerate(texts):
+        for b in range(0, len(text) - LENGTH + 1, BLOCK):
+            names.append(i)
+            begins.append(b)
+            blocks.append(text[b : b + BLOCK + LENGTH - 1])
+            size += len(blocks[-1])
+            if size >= BLOCK:
+                flush()
+                names, begins, blocks, size = [], [], [], 0
+    if blocks or not found:
+        flush()
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
+def _contexts_of_blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """The same of texts whose places all fit in the low bits of a hash.
+
     Every window holds the minimiser with HALF bytes on its left or on its right,
     so a window can only be repeated if one of these two strings is; a context too
     short on one side has its content hash there.
@@ -88,6 +117,8 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     none = tuple(np.empty(0, np.int64) for _ in range(7))
     if len(data) < LENGTH:
         return none
+    if len(data) > int(_POS):
+        raise ValueError("more bytes than places")
     sums = [p.sums(data) for p in _HASHES]
     at = np.arange(len(data) - GRAM + 1)
     grams = _HASHES[0].of(sums[0], at, at + GRAM)
