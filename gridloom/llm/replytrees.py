@@ -65,11 +65,14 @@ def format_trees(nodes: DataFrame, *, best: int = 1, trained_role: str = "assist
     smaller leaf) are kept.  ``formatted`` marks every turn and escapes control
     strings inside roles and texts; ``loss_mask`` holds the code-point spans of
     the texts of ``trained_role``.  Null texts and roles are empty, null scores 0;
+    rows of a null tree are one tree, a null node is a leaf, as no parent names it;
     repeated (tree, node) rows keep the smallest (role, text); no rows give none.
     """
     spark = nodes.sparkSession
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    src = nodes.select("tree", "node", "parent", text("role").alias("role"), text("text").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    # a struct equals another with the same null inside, so no join loses a null tree or node
+    key = lambda c: F.struct(F.col(c).alias("v"))
+    src = nodes.select(key("tree").alias("tree"), key("node").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent"), text("role").alias("role"), text("text").alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     src = src.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "score")).alias("s")).select("tree", "node", "s.*")
     path = scratch_dir(spark)
     src = written(src, f"{path}/nodes")
@@ -86,7 +89,7 @@ def format_trees(nodes: DataFrame, *, best: int = 1, trained_role: str = "assist
     turns = F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "trained", "stop", F.length("body").cast("long").alias("n"), "piece")))
     out = rows.groupBy("tree", "leaf", "rank", "score", "n_turns").agg(turns.alias("turns"))
     mask = F.transform(F.filter("turns", lambda t: t.trained), lambda t: F.struct((t.stop - t.n).alias("start"), t.stop.alias("end")))
-    return out.select("tree", "leaf", "rank", "score", "n_turns", F.array_join(F.transform("turns", lambda t: t.piece), "").alias("formatted"), mask.alias("loss_mask"))
+    return out.select(F.col("tree.v").alias("tree"), F.col("leaf.v").alias("leaf"), "rank", "score", "n_turns", F.array_join(F.transform("turns", lambda t: t.piece), "").alias("formatted"), mask.alias("loss_mask"))
 
 
 def read_turns(formatted: Column) -> Column:
