@@ -27,6 +27,8 @@ NAMES = ("word_length", "symbols", "dup_lines", "repeats")
 FLOOR = (0.35, 0.12, 0.08, 0.05)
 #: Share of a group that the estimate rests on, concentration steps, least group, chance of rejecting a Gaussian document.
 SUBSET, STEPS, LEAST_GROUP, ALPHA = 0.75, 4, 40, 1e-5
+#: Group of the documents that have no large enough group in their language; other names have a separator.
+REST = "*"
 #: Bins a unit of a statistic, and a factor 2 of a distance.
 BINS, LOG_BINS = 256, 32
 
@@ -176,7 +178,9 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
 
     Documents that fail a base rule are not kept and do not enter an estimate.  A
     (language, source) with fewer than ``least_group`` others is pooled with the
-    small ones of its language; a pool still smaller is kept whole.  Null language
+    small ones of its language, a pool still smaller with those of all languages;
+    if these are too few as well, they are judged by the estimate of all documents.
+    Only where all documents are too few is none judged.  Null language
     or source is a value like any other; null and empty texts have no words and
     fail; repeated rows each count; an empty table gives no rows; extra columns
     come through, and names that clash with the results are refused.
@@ -195,9 +199,18 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     sizes = good.groupBy("_lang", "_source").count()
     pool = F.when(F.col("count") >= least_group, F.col("_source")).otherwise("*")
     groups = sizes.select("_lang", "_source", F.concat_ws("\x1f", "_lang", pool).alias("group"), "count")
-    big = groups.groupBy("group").agg(F.sum("count").alias("size")).where(F.col("size") >= least_group)
-    groups = written(groups.join(big, "group").select("_lang", "_source", "group"), f"{path}/groups")
-    params = robust_estimates(good.join(groups, ["_lang", "_source"]).select("group", *[f"x{i}" for i in range(p)]), path)
+    size = F.sum("count").over(Window.partitionBy("group"))
+    groups = groups.withColumn("size", size).select("_lang", "_source", F.when(F.col("size") >= least_group, F.col("group")).otherwise(REST).alias("group"), "count")
+    groups = written(groups, f"{path}/groups")
+    every, rest = groups.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("group") == REST, F.col("count"))), F.lit(0))).first()
+    groups = groups.drop("count")
+    xs = [f"x{i}" for i in range(p)]
+    vectors = good.join(groups, ["_lang", "_source"]).select("group", *xs)
+    if 0 < rest < least_group:
+        vectors = vectors.where(F.col("group") != REST)
+        if every >= least_group:
+            vectors = vectors.unionByName(good.select(F.lit(REST).alias("group"), *xs))
+    params = robust_estimates(vectors, path)
     judged = groups.join(params, "group").drop("group")
     out = df.join(judged, ["_lang", "_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(p)))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
