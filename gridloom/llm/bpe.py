@@ -335,10 +335,16 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col
                         cols["ids"].append(ids)
                     if "ids_sha256" in cols:
                         cols["ids_sha256"].append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                    if "decoded_sha256" in cols:
-                        cols["decoded_sha256"].append(hashlib.sha256(piece.machine.decode(ids)).hexdigest())
-                    if "decoded" in cols:
-                        cols["decoded"].append("".join(decode_stream(piece.machine, (ids[k : k + CHUNK] for k in range(0, len(ids), CHUNK)))))
+                    if "decoded" in cols or "decoded_sha256" in cols:
+                        digest, parts = hashlib.sha256(), []
+                        for part in decode_stream(piece.machine, (ids[k : k + CHUNK] for k in range(0, len(ids), CHUNK))):
+                            digest.update(part.encode())
+                            if "decoded" in cols:
+                                parts.append(part)
+                        if "decoded_sha256" in cols:
+                            cols["decoded_sha256"].append(digest.hexdigest())
+                        if "decoded" in cols:
+                            cols["decoded"].append("".join(parts))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], arrow[o]) for o in outputs)], names=[id_col, *outputs])
 
     return arrow_map(src, run, schema)
