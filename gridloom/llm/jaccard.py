@@ -1,57 +1,66 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
-Documents become sets of 64-bit hashes of their 5-word shingles.  Equal sets are
-one class from the start.  If two sets link at Jaccard similarity 0.75, their
-prefixes (all but 75 % of the set, plus one) share a token under any global
-order, and a computable number of tokens if no bucket is left out.  The first
-order puts shingles that are frequent in a bounded sample last, then goes by
-hash; it makes the candidates through an equi-join on prefix tokens.  Candidates
-must also share prefix tokens under two more, independent orders before the sets
-are compared in full.
+Documents become sets of 64-bit hashes of their 5-word shingles; equal sets are
+one node from the start.  If two sets link at Jaccard similarity 0.75, their
+prefixes (all but 75 % of the set, plus one) share a computable number of tokens
+under any global order.  The first order goes by document frequency, as counted
+over all documents in a sketch of fixed width, then by hash: what many documents
+share comes last and leaves the prefixes.  It makes the candidates through an
+equi-join on prefix tokens.  The prefixes under two more, independent orders are
+then compared, and only candidates that pass all three filters have their full
+sets moved and compared.
 
 Only connection is asked for, so buckets are not expanded to all pairs: round by
 round, a few leaders of each bucket are compared with its members, what links is
 merged, and only members of different components meet again, until every bucket
-is exhausted.  The order is a matter of speed alone: whatever the sample says,
-no link is lost.
+is exhausted.  Orders and sketch are a matter of speed alone: no link is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
-from gridloom.runtime import scratch_dir, written
+from gridloom.runtime import dropped, scratch_dir, written
 
 from .common import arrow_map, extra_columns, pieces
 
 SHINGLE = 5
-#: Documents in the sample for the first order, least count there of a frequent shingle, and most frequent shingles.
-SAMPLE_DOCS, FREQUENT_AT, MOST_FREQUENT = 20_000, 3, 500_000
-#: Leaders a bucket in each round, and the size up to which a bucket is exhausted at once.
-LEADERS, SMALL_BUCKET = (1, 8, 64, 512, 4096), 16
-#: Most ids that are broadcast to pick documents by; more go through a shuffled join.
-BROADCAST_IDS = 2_000_000
+#: Counters of the document-frequency sketch (one byte each when broadcast) and the slices it is merged in.
+SLOTS, SLICES = 1 << 24, 64
+#: Leaders a bucket in each round (then 16 times as many each), and the size up to which a bucket is exhausted at once.
+LEADERS, SMALL_BUCKET = (1, 16, 256, 4096), 16
+#: Members of one leader that a task compares.
+MEMBERS = 512
+#: Most node numbers, 8 bytes each, that are broadcast to pick sets by; more go through a shuffled join.
+BROADCAST_NODES = 1_000_000
+#: Set hashes that a task remembers to store a repeated set once.
+SEEN = 500_000
+#: Bytes whose words are hashed at once.
+BLOCK = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
-_WORDS: dict[bytes, int] = {}
+_BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+_VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
+_IS_SPACE = np.array([i in b" \t\n\x0b\x0c\r" for i in range(256)])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_POWERS: list[np.ndarray] = []
 
 
-def word_hash(w: bytes) -> int:
-    h = _WORDS.get(w)
-    if h is None:
-        if len(_WORDS) > 300_000:
-            _WORDS.clear()
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(w) < 100:
-            _WORDS[w] = h
-    return h
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, BLOCK + 1)
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate(([np.uint64(1)], np.full(size - 1, np.uint64(b))))) for b in (_BASE, _INVERSE)]
+    return _POWERS
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,19 +68,83 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; fewer than ``k`` words are one shingle, none give none."""
-    get = _WORDS.get
-    w = np.array([get(x) or word_hash(x) for x in text.lower().split()], np.uint64)
-    if not len(w):
-        return w
-    if len(w) < k:
-        return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), seed=len(w))], np.uint64)
-    n = len(w) - k + 1
-    h = w[:n]
-    for j in range(1, k):
-        h = _mixed(h) + w[j : j + n]
-    return np.unique(_mixed(h))
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first places of the words in a block; a word beyond 256 bytes is hashed by itself."""
+    a = np.frombuffer(data, np.uint8)
+    word = np.zeros(len(a) + 2, np.int8)
+    word[1:-1] = ~_IS_SPACE[a]
+    edge = np.flatnonzero(np.diff(word))
+    start, stop = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.uint64), start
+    up, down = _powers(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_VALUES[a] * up[: len(a)], out=sums[1:])
+    h = _mixed((sums[stop] - sums[start]) * down[start])
+    for k in np.flatnonzero(stop - start > 256):
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : stop[k]])
+    return h, start
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, A-Z in lower case, and how many each text has."""
+    counts = np.zeros(len(texts), np.int64)
+    found: list[np.ndarray] = []
+    block: list[bytes] = []
+    owners: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        begins = np.cumsum([0, *(len(b) + 1 for b in block)])
+        h, start = _hashed(b" ".join(block).lower())
+        found.append(h)
+        np.add.at(counts, np.array(owners, np.int64)[np.searchsorted(begins, start, "right") - 1], 1)
+        block.clear()
+        owners.clear()
+        size = 0
+
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            stop = len(text)
+            if stop - at > BLOCK:  # cut at a space; a word longer than a block stays whole
+                gap = _SPACE.search(text, at + BLOCK)
+                stop = gap.start() if gap else stop
+            block.append(text[at:stop])
+            owners.append(k)
+            size += stop - at
+            at = stop
+            if size >= BLOCK:
+                flush()
+    if block:
+        flush()
+    return np.concatenate([*found, np.empty(0, np.uint64)]), counts
+
+
+def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; fewer than ``k`` words are one shingle, none give none."""
+    w, counts = word_hashes(texts)
+    h = w.copy()
+    if len(w) >= k:
+        n = len(w) - k + 1
+        h = w[:n]
+        for j in range(1, k):
+            h = _mixed(h) + w[j : j + n]
+        h = _mixed(h)
+    out, at = [], 0
+    for c in counts.tolist():
+        if c >= k:
+            s = np.sort(h[at : at + c - k + 1])
+            keep = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s[keep])
+        elif c:
+            out.append(np.array([xxhash.xxh3_64_intdigest(w[at : at + c].tobytes(), seed=c)], np.uint64))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += c
+    return out
 
 
 def prefix_length(n: int) -> int:
@@ -79,225 +152,290 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets link: sizes, then prefixes under two more orders, then the sets themselves."""
-    if 4 * min(len(a), len(b)) < 3 * max(len(a), len(b)):
-        return False
-    for m in _MIX[1:]:
-        pa_, pb = (x[np.argsort(x * m, kind="stable")[: prefix_length(len(x))]] for x in (a, b))
-        if not np.isin(pa_, pb, assume_unique=True).any():
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 75 * (len(a) + len(b) - both)
+def least_shared(na: int, nb: int) -> int:
+    """Tokens that the prefixes of two linked sets share at least: beyond the prefix of the larger lie at most ceil(0.75 n) - 1 common ones."""
+    return (3 * (na + nb) + 6) // 7 - ((3 * max(na, nb) + 3) // 4 - 1)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return extra_columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def later_prefixes(s: np.ndarray) -> list[bytes]:
+    """The prefixes of a set under the second and the third order, in 32 bits a token."""
+    p, out = prefix_length(len(s)), []
+    for m in _MIX[1:]:
+        x = s * m
+        first = np.partition(x, p - 1)[:p] if p < len(x) else x
+        out.append((first >> np.uint64(32)).astype(np.uint32).tobytes())
+    return out
 
 
-def set_keys(src: DataFrame) -> DataFrame:
-    """(id, n, key): size and 128-bit digest of each document's set; key is null for an empty set."""
+def prefixes_meet(a: list[np.ndarray], b: list[np.ndarray], na: int, nb: int) -> bool:
+    """Whether both later prefixes of two sets share enough tokens; equal 32 bits may let too many pass, never too few."""
+    need = least_shared(na, nb)
+    return all(int(np.isin(x, y).sum()) >= need for x, y in zip(a, b, strict=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces(whole):
-                sets = [shingles(x or b"") for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], names=["id", "n", "key"])
 
-    return arrow_map(src, run, f"id {src.schema['id'].dataType.simpleString()}, n bigint, key binary")
+def links(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets link."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= 75 * (len(a) + len(b) - both)
+
 
+def set_rows(src: DataFrame, seed: int = 0) -> DataFrame:
+    """One row a document: id, n, node and proof (128 bits of its set's hash), tokens; and, by slice, the task's counts of tokens.
 
-def frequent_shingles(src: DataFrame, docs: int, sample: int = SAMPLE_DOCS) -> np.ndarray:
-    """Shingles frequent among about ``sample`` documents chosen by their ids' hashes; at most MOST_FREQUENT."""
-    share = min(1.0, sample / max(docs, 1))
-    some = src.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    A task stores the tokens of a repeated set once and counts it once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen, kind = np.zeros(SLOTS, np.uint32), set(), None
+        names = ["id", "n", "node", "proof", "tokens", "slice", "counts"]
         for whole in batches:
-            for batch in pieces(whole):
-                sets = [shingles(x or b"") for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64))], names=["token"])
-
-    counts = arrow_map(some, run, "token bigint").groupBy("token").count().where(F.col("count") >= FREQUENT_AT)
-    top = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token").toArrow()
-    return np.sort(np.asarray(top.column(0).combine_chunks()).view(np.uint64))
-
+            kind = whole.schema.types[0]
+            for batch in pieces(whole, 256):
+                sets = shingle_sets([x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()])
+                nodes, proofs, tokens, new = [], [], [], []
+                for s in sets:
+                    if not len(s):
+                        nodes.append(None)
+                        proofs.append(None)
+                        tokens.append(None)
+                        continue
+                    raw = s.tobytes()
+                    d = hashlib.blake2b(raw, digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+                    node = int.from_bytes(d[:8], "little", signed=True)
+                    nodes.append(node)
+                    proofs.append(int.from_bytes(d[8:], "little", signed=True))
+                    tokens.append(None if d in seen else raw)
+                    if d not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(d)
+                        new.append(s)
+                if new:
+                    np.add.at(total, np.concatenate(new) & np.uint64(SLOTS - 1), 1)
+                none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(tokens, pa.binary()), *none], names=names)
+        width = SLOTS // SLICES
+        some = [s for s in range(SLICES) if total[s * width : (s + 1) * width].any()]
+        if some:
+            packer = zstandard.ZstdCompressor(level=1)
+            packed = [packer.compress(total[s * width : (s + 1) * width].tobytes()) for s in some]
+            none = [pa.nulls(len(some), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+
+    return arrow_map(src, run, f"id {src.schema['id'].dataType.simpleString()}, n bigint, node bigint, proof bigint, tokens binary, slice int, counts binary")
+
+
+def frequency_classes(rows: DataFrame) -> bytes:
+    """The merged sketch as one byte a counter, an eighth of an octave each: SLOTS bytes, whatever the corpus.
+
+    A token's counter is at least its document frequency.  Tasks' counters are
+    summed slice by slice as a stream.
+    """
+    width = SLOTS // SLICES
 
-def prefix_tokens(src: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(token, id, n) for every prefix token of every document under the first order."""
-    shared = src.sparkSession.sparkContext.broadcast(frequent.tobytes())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        unpacker = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for batch in pieces(whole, 16):
+                for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if s not in total:
+                        total[s] = np.zeros(width, np.uint64)
+                    total[s] += np.frombuffer(unpacker.decompress(raw), np.uint32)
+        for s, c in total.items():
+            code = np.minimum(np.floor(8 * np.log2(np.maximum(c, 1))), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([code.tobytes()], pa.binary())], names=["slice", "code"])
+
+    merged = arrow_map(rows.where("slice is not null").select("slice", "counts").repartition("slice"), run, "slice int, code binary")
+    out = np.zeros(SLOTS, np.uint8)
+    for s, code in merged.toLocalIterator():
+        out[s * width : (s + 1) * width] = np.frombuffer(code, np.uint8)
+    return out.tobytes()
+
+
+def prefix_tokens(sets: DataFrame, classes: bytes) -> DataFrame:
+    """(token, node, n) for every prefix token under the first order that any other set may hold."""
+    shared = sets.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.frombuffer(shared.value, np.uint64)
+        code = np.frombuffer(shared.value, np.uint8)
         for whole in batches:
             for batch in pieces(whole, 256):
                 tokens, rows, sizes = [], [], []
-                for k, text in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
-                    s = shingles(text or b"")
-                    if not len(s):
-                        continue
-                    p = prefix_length(len(s))
-                    if len(late):
-                        at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                        is_late = late[at] == s
-                        first = s[~is_late][:p]
-                        s_p = np.concatenate((first, s[is_late][: p - len(first)]))
-                    else:
-                        s_p = s[:p]
-                    tokens.append(s_p)
-                    rows.append(np.full(p, k))
-                    sizes.append(np.full(p, len(s)))
+                for k, raw in enumerate(batch.column(2).to_pylist()):
+                    s = np.frombuffer(raw, np.uint64)
+                    c = code[s & np.uint64(SLOTS - 1)]
+                    first = np.argsort(c, kind="stable")[: prefix_length(len(s))]
+                    first = first[c[first] > 0]  # a counter of one: in no other set
+                    tokens.append(s[first])
+                    rows.append(np.full(len(first), k))
+                    sizes.append(np.full(len(first), len(s)))
                 if tokens:
-                    ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), ids, pa.array(np.concatenate(sizes), pa.int32())], names=["token", "id", "n"])
-
-    return arrow_map(src, run, f"token bigint, id {src.schema['id'].dataType.simpleString()}, n int")
+                    nodes = batch.column(0).take(pa.array(np.concatenate(rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), nodes, pa.array(np.concatenate(sizes), pa.int32())], names=["token", "node", "n"])
 
+    return arrow_map(sets.select("node", "n", "tokens"), run, "token bigint, node bigint, n int")
 
-def picked(src: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``src`` whose id is in ``ids``, a written table; a counted, bounded table of ids is broadcast."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return src.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
-
-def full_sets(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, tokens binary) of the documents whose ids are in ``wanted``."""
+def picked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row a node of ``nodes``, a written table, with its set and its later prefixes; few nodes are broadcast, counted by their bytes."""
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    rows = sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").select("node", "tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole):
-                sets = [shingles(x or b"").tobytes() for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "tokens"])
+            for batch in pieces(whole, 256):
+                later = [later_prefixes(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+                n = [len(x) // 8 for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array([x[0] for x in later], pa.binary()), pa.array([x[1] for x in later], pa.binary()), batch.column(1)], names=["node", "n", "second", "third", "tokens"])
+
+    return arrow_map(rows, run, "node bigint, n int, second binary, third binary, tokens binary").dropDuplicates(["node"])
+
 
-    return arrow_map(picked(src, wanted), run, f"id {src.schema['id'].dataType.simpleString()}, tokens binary")
+def _dealt(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (a, b, *columns of b) by leader ``a``, its own row first; the members of one leader are dealt in groups of about MEMBERS."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("groups"))
+    rows = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("deal"), F.lit(True).alias("member"))
+    own = rows.select("a", F.col("a").alias("b"), "deal", F.lit(False).alias("member")).distinct()
+    rows = rows.unionByName(own).join(sets.select(F.col("node").alias("b"), *columns), "b")
+    return rows.repartition("a", "deal").sortWithinPartitions("a", "deal", "member").select("a", "b", "member", *columns)
 
 
-def verified(pairs: DataFrame, src: DataFrame, path: str) -> DataFrame:
-    """(a, b) of the pairs that link, and no others; ``pairs`` is a written table.  Members' sets travel once a pair to their leader ``a``, whose own set comes first and stays."""
-    kind = pairs.schema["a"].dataType.simpleString()
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{path}-ids")
-    sets = written(full_sets(src, ids), f"{path}-sets")
-    rows = pairs.select("a", "b").unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    rows = rows.join(sets.withColumnRenamed("id", "b"), "b").select("a", "b", "tokens", (F.col("a") != F.col("b")).alias("member"))
-    rows = rows.repartition("a").sortWithinPartitions("a", "member").select("a", "b", "tokens")
+def _passing(rows: DataFrame, read, test) -> DataFrame:
+    """(a, b) of the members that pass the test against their leader, which comes before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader = own = None
+        own = None
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, 256):
                 found_a, found_b = [], []
-                for a, b, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    s = np.frombuffer(t, np.uint64)
-                    if a == b:
-                        leader, own = a, s
-                    elif a == leader and links(own, s):
+                for a, b, member, *rest in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                    x = read(*rest)
+                    if not member:
+                        own = x
+                    elif test(own, x):
                         found_a.append(a)
                         found_b.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(found_a, batch.schema.types[0]), pa.array(found_b, batch.schema.types[0])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    return arrow_map(rows, run, "a bigint, b bigint")
 
-    return arrow_map(rows, run, f"a {kind}, b {kind}")
 
+def verified(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """The pairs that link: first the prefixes under the two later orders are compared, then the sets of what passed."""
+    short = lambda x: np.frombuffer(x, np.uint32)
+    near = _passing(_dealt(pairs, sets, ["n", "second", "third"]), lambda n, x, y: (n, [short(x), short(y)]), lambda x, y: prefixes_meet(x[1], y[1], x[0], y[0]))
+    near = written(near, f"{path}-near")
+    return _passing(_dealt(near, sets, ["tokens"]), lambda x: np.frombuffer(x, np.uint64), links)
 
-def _cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components, within reach in size, that may share enough prefix tokens."""
-    small = F.col("size") <= SMALL_BUCKET
-    lead = rows.where(small | (F.col("rank") <= leaders)).select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"), F.col("open").alias("oa"))
-    rest = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"), F.col("open").alias("ob"))
-    near = (F.col("ra") < F.col("rb")) & (F.col("ca") != F.col("cb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb"))
-    pairs = lead.join(rest, "token").where(near)
-    lo = F.col("a") < F.col("b")
-    pairs = pairs.select(F.when(lo, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(lo, F.col("b")).otherwise(F.col("a")).alias("b"), (F.col("na") + F.col("nb")).alias("both"), F.greatest("na", "nb").alias("most"), F.least("oa", "ob").alias("open"))
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("both").alias("both"), F.max("most").alias("most"), F.max("open").alias("open"))
-    # beyond the prefix of the larger set lie at most ceil(0.75 most) - 1 common tokens
-    need = F.ceil(F.col("both") * 3 / 7) - (F.ceil(F.col("most") * 3 / 4) - 1)
-    return pairs.where(F.col("shared") + F.col("open") >= need).select("a", "b", "shared")
 
+def _need(na: Column, nb: Column) -> Column:
+    """least_shared as a column expression in whole numbers."""
+    return F.floor((3 * (na + nb) + 6) / 7) - (F.floor((3 * F.greatest(na, nb) + 3) / 4) - 1)
 
-def _late_pairs(rows: DataFrame, leaders: int) -> DataFrame:
-    """The same for buckets left over: each pair once, at its first common bucket, and only with enough common buckets.
 
-    Pairs that meet in a small bucket are settled by then, and buckets of one
-    component hold no pair that is still apart, so the common buckets among
-    ``rows`` are all prefix tokens that such a pair shares.
+def cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components, within reach in size, that may share enough prefix tokens.
+
+    ``rows`` hold all buckets in which such a pair can meet.  ``kept`` is how many
+    of them a node is in, ``open`` how many of these are not exhausted by now.
+    """
+    unsettled = (F.col("size") > SMALL_BUCKET) & (F.col("size") > leaders)
+    own = rows.groupBy("node").agg(F.count("*").alias("kept"), F.sum(unsettled.cast("int")).alias("open"))
+    rows = rows.join(own, "node")
+    side = lambda df, k: df.select("token", *[F.col(c).alias(c + k) for c in ("node", "n", "rank", "component", "kept", "open")])
+    lead, rest = side(rows.where((F.col("size") <= SMALL_BUCKET) | (F.col("rank") <= leaders)), "_a"), side(rows, "_b")
+    need = _need(F.col("n_a"), F.col("n_b"))
+    near = (F.col("rank_a") < F.col("rank_b")) & (F.col("component_a") != F.col("component_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (F.least("kept_a", "kept_b") >= need)
+    pairs = lead.join(rest.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & near)
+    lo = F.col("node_a") < F.col("node_b")
+    pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), need.alias("need"), F.least("open_a", "open_b").alias("open"))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.max("open").alias("open"))
+    return pairs.where(F.col("shared") + F.col("open") >= F.col("need")).select("a", "b", "shared")
+
+
+def stored_sets(src: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The written rows of ``set_rows`` and (node, rep): each distinct set with its smallest id.
+
+    Should two different sets get one 64-bit node, their proofs differ and all is hashed anew.
     """
-    lists = rows.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("list"))
-    rows = rows.join(lists, "id")
-    side = lambda df, k: df.select("token", *[F.col(c).alias(c + k) for c in ("id", "n", "rank", "component", "list")])
-    a, b = side(rows.where(F.col("rank") <= leaders), "_a"), side(rows, "_b")
-    common = F.array_intersect("list_a", "list_b")
-    most = F.greatest("n_a", "n_b")
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * 3 / 7) - (F.ceil(most * 3 / 4) - 1)
-    near = (F.col("rank_a") < F.col("rank_b")) & (F.col("component_a") != F.col("component_b")) & (4 * F.least("n_a", "n_b") >= 3 * most)
-    once = (F.get(common, 0) == F.col("right_token")) & (F.size(common) >= need)
-    b = b.withColumnRenamed("token", "right_token")
-    pairs = a.join(b, (F.col("token") == F.col("right_token")) & near & once)
-    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    for seed in range(1 << 16):
+        rows = written(set_rows(src, seed), f"{path}/sets{seed}")
+        known = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
+        known = written(known, f"{path}/nodes{seed}")
+        if known.where("lo <> hi").isEmpty():
+            return rows, known.select("node", "rep")
+        dropped(src.sparkSession, f"{path}/sets{seed}")
+    raise RuntimeError("no seed tells all sets apart")
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles (long) and component_id, the smallest id reachable by links.
 
-    Ids are unique up to repeated rows of one text.  Null, empty and blank texts
-    have no shingles and are components of their own; a null id stays null and
-    links nothing; an empty table gives no rows; extra columns are ignored.
+    The id may be of any type that has an order.  Null, empty and blank texts
+    have no shingles, link nothing and are components of their own.  A document
+    without an id links like any other; its component is the smallest id there is
+    in it, or null.  Rows of one id with different texts are judged each by its
+    text.  Repeated rows are each returned; an empty table gives no rows; extra
+    columns are ignored.
     """
     spark = docs.sparkSession
     path = scratch_dir(spark)
-    src = _sets(docs, id_col, text_col)
-    keys = written(set_keys(src), f"{path}/keys")
-    classes = written(keys.where("key is not null").groupBy("key", "n").agg(F.min("id").alias("rep")), f"{path}/classes")
-    late = frequent_shingles(src, keys.count())
+    src = extra_columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows, nodes = stored_sets(src, path)
+    sets = rows.where("tokens is not null").select("node", "n", "tokens")
+    components = node_components(sets, frequency_classes(rows), path)
+    # the smallest id of a component; nodes without links are their own
+    named = nodes.join(components, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = written(named.join(least, "component").select("node", "component_id"), f"{path}/named")
+    keys = rows.where("slice is null").select("id", "n", "node")
+    out = keys.join(named, "node", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def node_components(sets: DataFrame, classes: bytes, path: str) -> DataFrame:
+    """(node, component) of every set that links with another."""
     per_token = Window.partitionBy("token")
-    # one shuffle: what follows the first window keeps its partitioning by token
-    rows = prefix_tokens(picked(src, classes.select(F.col("rep").alias("id")).where("id is not null")), late)
-    rows = rows.withColumn("size", F.count("*").over(per_token)).where("size > 1").select("token", "id", "n").distinct()
-    rows = rows.withColumn("size", F.count("*").over(per_token)).where("size > 1")
-    rows = written(rows, f"{path}/buckets")
-    # central documents lead: those whose tokens are shared most
-    weight = rows.groupBy("id").agg(F.sum(F.least("size", F.lit(10_000))).alias("weight"))
-    rows = rows.join(weight, "id").withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "id")))
-    rows = written(rows.select("token", "id", "n", "size", "rank"), f"{path}/ranked")
-
-    def counted(split: DataFrame, leaders: int) -> DataFrame:
-        left_open = (F.col("size") > SMALL_BUCKET) & (F.col("size") > leaders)
-        opened = split.groupBy("id").agg(F.sum(left_open.cast("int")).alias("open"))
-        return _cross_pairs(split.join(opened, "id"), leaders)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends are not yet known to be connected."""
-        own = components.select("node", "component")
-        pairs = pairs.join(own.toDF("a", "ca"), "a", "left").join(own.toDF("b", "cb"), "b", "left")
-        return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    # first every document with the partner that shares most of its prefix, then what is still apart
-    likely = written(counted(rows.withColumn("component", F.col("id")), LEADERS[0]), f"{path}/likely")
+    # one shuffle: all that follows keeps its partitioning by token
+    rows = prefix_tokens(sets, classes).repartition("token").distinct()
+    rows = written(rows.withColumn("size", F.count("*").over(per_token)).where("size > 1"), f"{path}/buckets")
+    # central sets lead: those whose tokens are shared most
+    weight = rows.groupBy("node").agg(F.sum(F.least("size", F.lit(10_000))).alias("weight"))
+    rows = rows.join(weight, "node").withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "node")))
+    rows = written(rows.select("token", "node", "n", "size", "rank"), f"{path}/ranked")
+    # first every set with the partner that shares most of its prefix, then what is still apart
+    likely = written(cross_pairs(rows.withColumn("component", F.col("node")), LEADERS[0]), f"{path}/likely")
     each = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    best = each.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("first"), "a")).alias("s")).select("s.a", "b")
-    best = best.join(best.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a > b"), ["a", "b"], "left_anti")
-    found = tested = None
-    for k, leaders in enumerate([0, *LEADERS, *(LEADERS[-1] * 8**i for i in range(1, 12))]):
-        if k == 0:
-            pairs = best
-        elif k == 1:
-            pairs = apart(likely.select("a", "b"))
+    best = each.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("first"), "a")).alias("s")).select(F.least("s.a", "b").alias("a"), F.greatest("s.a", "b").alias("b")).distinct()
+    best = written(best, f"{path}/pairs0")
+    known = written(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), f"{path}/known")
+    known = written(picked(sets, known), f"{path}/known-sets")
+    found = written(verified(best, known, f"{path}/round0"), f"{path}/links0")
+    components = connected_components(found)
+    tested, reach, k = best, 0, 0
+    while True:
+        k += 1
+        leaders = LEADERS[k - 1] if k <= len(LEADERS) else leaders * 16
+        label = components.select("node", "component")
+        if k == 1:
+            pairs = likely.select("a", "b").join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
+            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
         else:
-            split = rows.where(F.col("size") > SMALL_BUCKET).join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+            split = rows.where(F.col("size") > SMALL_BUCKET).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = split.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("most")).where("lo <> hi").select("token", "most")
             mixed = written(mixed, f"{path}/mixed{k}")
             if mixed.where(F.col("most") > reach).isEmpty():
-                break
+                return components
             # exhausted buckets stay in, as pairs are counted over all their common ones
-            pairs = _late_pairs(split.join(mixed, "token", "left_semi"), leaders)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = cross_pairs(split.join(mixed, "token", "left_semi"), leaders).select("a", "b")
         reach = max(SMALL_BUCKET, leaders)
-        pairs = written(pairs, f"{path}/pairs{k}")
-        links_now = verified(pairs, src, f"{path}/round{k}")
-        found = written(links_now if found is None else found.unionByName(links_now), f"{path}/links{k}")
-        order = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = order if tested is None else tested.unionByName(order)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
+        if pairs.isEmpty():
+            continue
+        tested = tested.unionByName(pairs)
+        if k > 1:
+            known = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{path}/known{k}")
+            known = written(picked(sets, known), f"{path}/known-sets{k}")
+        found = written(found.unionByName(verified(pairs, known, f"{path}/round{k}")), f"{path}/links{k}")
         components = connected_components(found)
-    by_key = classes.join(components, classes["rep"] == components["node"], "left").select("key", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = keys.join(by_key, ["key", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
