@@ -25,14 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.components import connected_components
 from gridloom.runtime import dropped, scratch_dir, written
 
-from .common import arrow_map, extra_columns, pieces
+from .common import arrow_map, extra_columns, pack, pack_ints, pieces, unpack, unpack_ints
 
 SHINGLE = 5
 #: Counters of the document-frequency sketch (one byte each when broadcast) and the slices it is merged in.
@@ -43,10 +42,12 @@ LEADERS, SMALL_BUCKET = (1, 16, 256, 4096), 16
 MEMBERS = 512
 #: Most node numbers, 8 bytes each, that are broadcast to pick sets by; more go through a shuffled join.
 BROADCAST_NODES = 1_000_000
+#: Prefix tokens of a packed row set and of a task that looks for common ones, and the largest bucket that such a task may hold.
+CHUNK_TOKENS, PARTITION_TOKENS, HOT_BUCKET = 1_000_000, 2_000_000, 65_536
 #: Set hashes that a task remembers to store a repeated set once.
 SEEN = 500_000
 #: Bytes whose words are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
 _BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64)
@@ -179,6 +180,21 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def packed_counts(c: np.ndarray) -> bytes:
+    """Counters in a byte each, then place and value of those that need more."""
+    large = np.flatnonzero(c >= 255)
+    low = pack(np.minimum(c, 255).astype(np.uint8))
+    return len(low).to_bytes(4, "little") + low + pack(np.stack([large, c[large].astype(np.int64)]))
+
+
+def add_counts(total: np.ndarray, raw: bytes) -> None:
+    n = 4 + int.from_bytes(raw[:4], "little")
+    part = unpack(raw[4:n], np.uint8).astype(np.int64)
+    place, value = unpack(raw[n:], np.int64).reshape(2, -1)
+    part[place] = value
+    total += part
+
+
 def set_rows(src: DataFrame, seed: int = 0) -> DataFrame:
     """One row a document: id, n, node and proof (128 bits of its set's hash), tokens; and, by slice, the task's counts of tokens.
 
@@ -217,8 +233,7 @@ def set_rows(src: DataFrame, seed: int = 0) -> DataFrame:
         width = SLOTS // SLICES
         some = [s for s in range(SLICES) if total[s * width : (s + 1) * width].any()]
         if some:
-            packer = zstandard.ZstdCompressor(level=1)
-            packed = [packer.compress(total[s * width : (s + 1) * width].tobytes()) for s in some]
+            packed = [packed_counts(total[s * width : (s + 1) * width]) for s in some]
             none = [pa.nulls(len(some), t) for t in (kind, pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
@@ -235,13 +250,12 @@ def frequency_classes(rows: DataFrame) -> bytes:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        unpacker = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in pieces(whole, 16):
                 for s, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if s not in total:
-                        total[s] = np.zeros(width, np.uint64)
-                    total[s] += np.frombuffer(unpacker.decompress(raw), np.uint32)
+                        total[s] = np.zeros(width, np.int64)
+                    add_counts(total[s], raw)
         for s, c in total.items():
             code = np.minimum(np.floor(8 * np.log2(np.maximum(c, 1))), 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([code.tobytes()], pa.binary())], names=["slice", "code"])
@@ -253,28 +267,97 @@ def frequency_classes(rows: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def prefix_tokens(sets: DataFrame, classes: bytes) -> DataFrame:
-    """(token, node, n) for every prefix token under the first order that any other set may hold."""
+def prefix_tokens(sets: DataFrame, classes: bytes, parts: int, hot: int) -> DataFrame:
+    """Packed prefix tokens under the first order, by range of the token: a row holds those of some documents in one range.
+
+    Tokens are cut to 48 bits, which may let different ones meet but parts no
+    equal ones.  Tokens whose counter exceeds the class ``hot`` travel in rows of
+    their own.  A counter of one says that no other set has the token.
+    """
     shared = sets.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.frombuffer(shared.value, np.uint8)
+        nodes: list[int] = []
+        cold_t, cold_o, hot_t, hot_o, n = [], [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            own = np.array(nodes, np.int64)
+            for is_hot, ts, os in ((False, cold_t, cold_o), (True, hot_t, hot_o)):
+                t = np.concatenate([*ts, np.empty(0, np.uint64)])
+                if not len(t):
+                    continue
+                order = np.argsort(t)
+                t, o = t[order], np.concatenate(os)[order]
+                edges = np.searchsorted(((t >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
+                out = []
+                for q in range(parts):
+                    x, y = edges[q], edges[q + 1]
+                    if x < y:
+                        owners, at = np.unique(o[x:y], return_inverse=True)
+                        out.append((q, is_hot, pack_ints(np.diff((t[x:y] >> np.uint64(16)).astype(np.int64), prepend=0)), pack(own[owners]), pack_ints(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 3), strict=True)], names=["p", "hot", "tokens", "nodes", "owners"])
+
         for whole in batches:
             for batch in pieces(whole, 256):
-                tokens, rows, sizes = [], [], []
-                for k, raw in enumerate(batch.column(2).to_pylist()):
+                for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     s = np.frombuffer(raw, np.uint64)
                     c = code[s & np.uint64(SLOTS - 1)]
                     first = np.argsort(c, kind="stable")[: prefix_length(len(s))]
-                    first = first[c[first] > 0]  # a counter of one: in no other set
-                    tokens.append(s[first])
-                    rows.append(np.full(len(first), k))
-                    sizes.append(np.full(len(first), len(s)))
-                if tokens:
-                    nodes = batch.column(0).take(pa.array(np.concatenate(rows)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), nodes, pa.array(np.concatenate(sizes), pa.int32())], names=["token", "node", "n"])
+                    c = c[first]
+                    for ts, os, mask in ((cold_t, cold_o, (c > 0) & (c <= hot)), (hot_t, hot_o, c > hot)):
+                        ts.append(s[first[mask]])
+                        os.append(np.full(len(ts[-1]), len(nodes)))
+                    nodes.append(node)
+                    n += len(first)
+                if n >= CHUNK_TOKENS:
+                    yield from flush()
+                    for x in (nodes, cold_t, cold_o, hot_t, hot_o):
+                        x.clear()
+                    n = 0
+        yield from flush()
+
+    return arrow_map(sets.select("node", "tokens"), run, "p int, hot boolean, tokens binary, nodes binary, owners binary")
+
 
-    return arrow_map(sets.select("node", "n", "tokens"), run, "token bigint, node bigint, n int")
+def met_tokens(packed: DataFrame, parts: int) -> DataFrame:
+    """(token, node, size) of the tokens in the prefixes of two sets or more; size is null for hot ones, which pass as they come."""
+    kinds = [pa.int64(), pa.int64(), pa.int64()]
+    names = ["token", "node", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ts, ns = [], []
+        for whole in batches:
+            for batch in pieces(whole, 64):
+                for is_hot, tokens, nodes, owners in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                    t, n = np.cumsum(unpack_ints(tokens)), unpack(nodes, np.int64)[unpack_ints(owners)]
+                    if is_hot:
+                        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n), pa.nulls(len(t), pa.int64())], names=names)
+                    else:
+                        ts.append(t)
+                        ns.append(n)
+        if ts:
+            t, n = np.concatenate(ts), np.concatenate(ns)
+            del ts, ns
+            order = np.argsort(t)
+            t, n = t[order], n[order]
+            twice = np.zeros(len(t) + 1, bool)
+            twice[1:-1] = t[1:] == t[:-1]
+            kept = twice[1:] | twice[:-1]
+            t, n = t[kept], n[kept]
+            order = np.lexsort((n, t))
+            t, n = t[order], n[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (n[1:] != n[:-1])
+            t, n = t[new], n[new]
+            _, at, size = np.unique(t, return_inverse=True, return_counts=True)
+            size = size[at]
+            for k in range(0, len(t), 100_000):
+                s = slice(k, k + 100_000)
+                many = size[s] > 1
+                yield pa.RecordBatch.from_arrays([pa.array(x[s][many], y) for x, y in zip((t, n, size), kinds, strict=True)], names=names)
+
+    return arrow_map(packed.repartition(parts, "p"), run, "token bigint, node bigint, size bigint")
 
 
 def picked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -348,7 +431,6 @@ def cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
     need = _need(F.col("n_a"), F.col("n_b"))
     near = (F.col("rank_a") < F.col("rank_b")) & (F.col("component_a") != F.col("component_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (F.least("kept_a", "kept_b") >= need)
     pairs = lead.join(rest.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & near)
-    lo = F.col("node_a") < F.col("node_b")
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), need.alias("need"), F.least("open_a", "open_b").alias("open"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.max("open").alias("open"))
     return pairs.where(F.col("shared") + F.col("open") >= F.col("need")).select("a", "b", "shared")
@@ -397,9 +479,16 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def node_components(sets: DataFrame, classes: bytes, path: str) -> DataFrame:
     """(node, component) of every set that links with another."""
     per_token = Window.partitionBy("token")
-    # one shuffle: all that follows keeps its partitioning by token
-    rows = prefix_tokens(sets, classes).repartition("token").distinct()
-    rows = written(rows.withColumn("size", F.count("*").over(per_token)).where("size > 1"), f"{path}/buckets")
+    stats = sets.agg(F.count("*"), F.sum("n")).first()
+    tokens = (stats[1] or 0) // 4 + stats[0]
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens // PARTITION_TOKENS))
+    # a counter bounds the bucket of its tokens, so a task that collects whole buckets holds no more than this of one
+    hot = int(8 * np.log2(max(HOT_BUCKET, 4 * (stats[1] or 0) / SLOTS)))
+    met = written(met_tokens(prefix_tokens(sets, classes, parts, hot), parts), f"{path}/met")
+    spread = met.where("size is null").select("token", "node").repartition("token").distinct()
+    spread = spread.withColumn("size", F.count("*").over(per_token)).where("size > 1")
+    rows = met.where("size is not null").unionByName(spread)
+    rows = written(rows.join(sets.groupBy("node").agg(F.max("n").cast("int").alias("n")), "node").select("token", "node", "n", "size"), f"{path}/buckets")
     # central sets lead: those whose tokens are shared most
     weight = rows.groupBy("node").agg(F.sum(F.least("size", F.lit(10_000))).alias("weight"))
     rows = rows.join(weight, "node").withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "node")))

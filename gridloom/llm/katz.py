@@ -23,42 +23,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.runtime import scratch_dir, ship, written
 
-from .common import arrow_map, extra_columns
+from .common import arrow_map, extra_columns, pack, pack_ints, unpack, unpack_ints
 
 #: Tokens a block at least, tokens a partition of the tables, and the largest count that is discounted.
 BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 2_400_000, 2_500_000, 5
 BEGIN, END = 1, 2  # hashes of the two marks; a word's hash is never below 16
 
 
-def pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
-
-
-def unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype) if b else np.empty(0, dtype)
-
-
-def small(a: np.ndarray) -> np.ndarray:
-    """Non-negative integers in four bytes if they fit."""
-    return a.astype(np.uint32) if not len(a) or a.max() < 2**32 else a.astype(np.uint64)
-
-
-def pack_ints(a: np.ndarray) -> bytes:
-    a = small(a)
-    return bytes([a.itemsize]) + pack(a)
-
-
-def unpack_ints(b: bytes) -> np.ndarray:
-    return unpack(b[1:], np.uint32 if b[0] == 4 else np.uint64).astype(np.int64)
-
-
 def discounts(n: list[float], most: int = MOST_DISCOUNTED) -> list[float]:
     """Katz's d_0 .. d_most from counts of counts n[r - 1]; 1 where Good-Turing gives none in (0, 1]."""
     out = [1.0] * (most + 1)
