@@ -1,7 +1,8 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
-Documents become sets of 64-bit hashes of their 5-word shingles; equal sets are
-one node from the start.  If two sets link at Jaccard similarity 0.75, their
+Documents become sets of 64-bit hashes of their 5-word shingles, of which 48 bits
+are stored and compared; sets equal in all 128 bits of a digest are one node from
+the start.  If two sets link at Jaccard similarity 0.75, their
 prefixes (all but 75 % of the set, plus one) share a computable number of tokens
 under any global order.  The first order goes by document frequency, as counted
 over all documents in a sketch of fixed width, then by hash: what many documents
@@ -35,17 +36,17 @@ from .common import arrow_map, extra_columns, pack, pack_ints, pieces, unpack, u
 
 SHINGLE = 5
 #: Counters of the document-frequency sketch (one byte each when broadcast) and the slices it is merged in.
-SLOTS, SLICES = 1 << 24, 64
+SLOTS, SLICES = 1 << 22, 16
 #: Leaders a bucket in each round (then 16 times as many each), and the size up to which a bucket is exhausted at once.
 LEADERS, SMALL_BUCKET = (1, 16, 256, 4096), 16
 #: Members of one leader that a task compares.
 MEMBERS = 512
-#: Most node numbers, 8 bytes each, that are broadcast to pick sets by; more go through a shuffled join.
-BROADCAST_NODES = 1_000_000
+#: Most node numbers (8 bytes each) and pairs of them (25 bytes a row, two rows at most) that are broadcast to pick sets by; more go through a shuffled join.
+BROADCAST_NODES, BROADCAST_PAIRS = 1_000_000, 200_000
 #: Prefix tokens of a packed row set and of a task that looks for common ones, and the largest bucket that such a task may hold.
 CHUNK_TOKENS, PARTITION_TOKENS, HOT_BUCKET = 1_000_000, 2_000_000, 65_536
 #: Set hashes that a task remembers to store a repeated set once.
-SEEN = 500_000
+SEEN = 100_000
 #: Bytes whose words are hashed at once.
 BLOCK = 1 << 18
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93))
@@ -148,6 +149,16 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def pack_tokens(s: np.ndarray) -> bytes:
+    """Six bytes a token: the upper 32 bits of all, then 16 more."""
+    return (s >> np.uint64(32)).astype(np.uint32).tobytes() + (s >> np.uint64(16)).astype(np.uint16).tobytes()
+
+
+def unpack_tokens(raw: bytes) -> np.ndarray:
+    n = len(raw) // 6
+    return (np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(16)) | np.frombuffer(raw, np.uint16, n, 4 * n)
+
+
 def prefix_length(n: int) -> int:
     """Tokens of a set of n that must hold one of any partner's under 100 * |intersection| >= 75 * |union|."""
     return n - (3 * n + 3) // 4 + 1
@@ -180,6 +191,11 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
+def slots(tokens: np.ndarray) -> np.ndarray:
+    """The counters of tokens, by their lower bits."""
+    return tokens & np.uint64(SLOTS - 1)
+
+
 def packed_counts(c: np.ndarray) -> bytes:
     """Counters in a byte each, then place and value of those that need more."""
     large = np.flatnonzero(c >= 255)
@@ -220,14 +236,14 @@ def set_rows(src: DataFrame, seed: int = 0) -> DataFrame:
                     node = int.from_bytes(d[:8], "little", signed=True)
                     nodes.append(node)
                     proofs.append(int.from_bytes(d[8:], "little", signed=True))
-                    tokens.append(None if d in seen else raw)
+                    tokens.append(None if d in seen else pack_tokens(s))
                     if d not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(d)
                         new.append(s)
                 if new:
-                    np.add.at(total, np.concatenate(new) & np.uint64(SLOTS - 1), 1)
+                    np.add.at(total, slots(np.concatenate(new) >> np.uint64(16)), 1)
                 none = pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(proofs, pa.int64()), pa.array(tokens, pa.binary()), *none], names=names)
         width = SLOTS // SLICES
@@ -270,9 +286,8 @@ def frequency_classes(rows: DataFrame) -> bytes:
 def prefix_tokens(sets: DataFrame, classes: bytes, parts: int, hot: int) -> DataFrame:
     """Packed prefix tokens under the first order, by range of the token: a row holds those of some documents in one range.
 
-    Tokens are cut to 48 bits, which may let different ones meet but parts no
-    equal ones.  Tokens whose counter exceeds the class ``hot`` travel in rows of
-    their own.  A counter of one says that no other set has the token.
+    Tokens whose counter exceeds the class ``hot`` travel in rows of
+    their own.
     """
     shared = sets.sparkSession.sparkContext.broadcast(classes)
 
@@ -289,23 +304,23 @@ def prefix_tokens(sets: DataFrame, classes: bytes, parts: int, hot: int) -> Data
                     continue
                 order = np.argsort(t)
                 t, o = t[order], np.concatenate(os)[order]
-                edges = np.searchsorted(((t >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
+                edges = np.searchsorted(((t >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
                 out = []
                 for q in range(parts):
                     x, y = edges[q], edges[q + 1]
                     if x < y:
                         owners, at = np.unique(o[x:y], return_inverse=True)
-                        out.append((q, is_hot, pack_ints(np.diff((t[x:y] >> np.uint64(16)).astype(np.int64), prepend=0)), pack(own[owners]), pack_ints(at)))
+                        out.append((q, is_hot, pack_ints(np.diff(t[x:y].astype(np.int64), prepend=0)), pack(own[owners]), pack_ints(at)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), *[pa.binary()] * 3), strict=True)], names=["p", "hot", "tokens", "nodes", "owners"])
 
         for whole in batches:
             for batch in pieces(whole, 256):
                 for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    s = np.frombuffer(raw, np.uint64)
-                    c = code[s & np.uint64(SLOTS - 1)]
+                    s = unpack_tokens(raw)
+                    c = code[slots(s)]
                     first = np.argsort(c, kind="stable")[: prefix_length(len(s))]
                     c = c[first]
-                    for ts, os, mask in ((cold_t, cold_o, (c > 0) & (c <= hot)), (hot_t, hot_o, c > hot)):
+                    for ts, os, mask in ((cold_t, cold_o, c <= hot), (hot_t, hot_o, c > hot)):
                         ts.append(s[first[mask]])
                         os.append(np.full(len(ts[-1]), len(nodes)))
                     nodes.append(node)
@@ -368,8 +383,8 @@ def picked(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 256):
-                later = [later_prefixes(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
-                n = [len(x) // 8 for x in batch.column(1).to_pylist()]
+                later = [later_prefixes(unpack_tokens(x)) for x in batch.column(1).to_pylist()]
+                n = [len(x) // 6 for x in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array([x[0] for x in later], pa.binary()), pa.array([x[1] for x in later], pa.binary()), batch.column(1)], names=["node", "n", "second", "third", "tokens"])
 
     return arrow_map(rows, run, "node bigint, n int, second binary, third binary, tokens binary").dropDuplicates(["node"])
@@ -380,7 +395,9 @@ def _dealt(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("groups"))
     rows = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("deal"), F.lit(True).alias("member"))
     own = rows.select("a", F.col("a").alias("b"), "deal", F.lit(False).alias("member")).distinct()
-    rows = rows.unionByName(own).join(sets.select(F.col("node").alias("b"), *columns), "b")
+    rows = rows.unionByName(own)
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    rows = sets.select(F.col("node").alias("b"), *columns).join(F.broadcast(rows) if few else rows, "b")
     return rows.repartition("a", "deal").sortWithinPartitions("a", "deal", "member").select("a", "b", "member", *columns)
 
 
@@ -409,7 +426,7 @@ def verified(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     short = lambda x: np.frombuffer(x, np.uint32)
     near = _passing(_dealt(pairs, sets, ["n", "second", "third"]), lambda n, x, y: (n, [short(x), short(y)]), lambda x, y: prefixes_meet(x[1], y[1], x[0], y[0]))
     near = written(near, f"{path}-near")
-    return _passing(_dealt(near, sets, ["tokens"]), lambda x: np.frombuffer(x, np.uint64), links)
+    return _passing(_dealt(near, sets, ["tokens"]), unpack_tokens, links)
 
 
 def _need(na: Column, nb: Column) -> Column:
@@ -417,15 +434,16 @@ def _need(na: Column, nb: Column) -> Column:
     return F.floor((3 * (na + nb) + 6) / 7) - (F.floor((3 * F.greatest(na, nb) + 3) / 4) - 1)
 
 
+def _open(leaders: int) -> Column:
+    return F.sum(((F.col("size") > SMALL_BUCKET) & (F.col("size") > leaders)).cast("int"))
+
+
 def cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components, within reach in size, that may share enough prefix tokens.
 
-    ``rows`` hold all buckets in which such a pair can meet.  ``kept`` is how many
+    ``rows`` hold all buckets in which such a pair can meet; ``kept`` is how many
     of them a node is in, ``open`` how many of these are not exhausted by now.
     """
-    unsettled = (F.col("size") > SMALL_BUCKET) & (F.col("size") > leaders)
-    own = rows.groupBy("node").agg(F.count("*").alias("kept"), F.sum(unsettled.cast("int")).alias("open"))
-    rows = rows.join(own, "node")
     side = lambda df, k: df.select("token", *[F.col(c).alias(c + k) for c in ("node", "n", "rank", "component", "kept", "open")])
     lead, rest = side(rows.where((F.col("size") <= SMALL_BUCKET) | (F.col("rank") <= leaders)), "_a"), side(rows, "_b")
     need = _need(F.col("n_a"), F.col("n_b"))
@@ -487,12 +505,12 @@ def node_components(sets: DataFrame, classes: bytes, path: str) -> DataFrame:
     met = written(met_tokens(prefix_tokens(sets, classes, parts, hot), parts), f"{path}/met")
     spread = met.where("size is null").select("token", "node").repartition("token").distinct()
     spread = spread.withColumn("size", F.count("*").over(per_token)).where("size > 1")
-    rows = met.where("size is not null").unionByName(spread)
-    rows = written(rows.join(sets.groupBy("node").agg(F.max("n").cast("int").alias("n")), "node").select("token", "node", "n", "size"), f"{path}/buckets")
+    per_node = Window.partitionBy("node")
+    rows = met.where("size is not null").unionByName(spread).join(sets.groupBy("node").agg(F.max("n").cast("int").alias("n")), "node")
     # central sets lead: those whose tokens are shared most
-    weight = rows.groupBy("node").agg(F.sum(F.least("size", F.lit(10_000))).alias("weight"))
-    rows = rows.join(weight, "node").withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "node")))
-    rows = written(rows.select("token", "node", "n", "size", "rank"), f"{path}/ranked")
+    rows = rows.withColumns({"weight": F.sum(F.least("size", F.lit(10_000))).over(per_node), "kept": F.count("*").over(per_node), "open": _open(LEADERS[0]).over(per_node)})
+    rows = rows.withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "node"))).drop("weight")
+    rows = written(rows, f"{path}/ranked")
     # first every set with the partner that shares most of its prefix, then what is still apart
     likely = written(cross_pairs(rows.withColumn("component", F.col("node")), LEADERS[0]), f"{path}/likely")
     each = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
@@ -517,7 +535,9 @@ def node_components(sets: DataFrame, classes: bytes, path: str) -> DataFrame:
             if mixed.where(F.col("most") > reach).isEmpty():
                 return components
             # exhausted buckets stay in, as pairs are counted over all their common ones
-            pairs = cross_pairs(split.join(mixed, "token", "left_semi"), leaders).select("a", "b")
+            split = split.drop("kept", "open").join(mixed, "token", "left_semi")
+            split = split.join(split.groupBy("node").agg(F.count("*").alias("kept"), _open(leaders).alias("open")), "node")
+            pairs = cross_pairs(split, leaders).select("a", "b")
         reach = max(SMALL_BUCKET, leaders)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
         if pairs.isEmpty():
