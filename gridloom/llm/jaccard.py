@@ -20,6 +20,7 @@ is exhausted.  Orders and sketch are a matter of speed alone: no link is lost.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -37,8 +38,9 @@ from .common import arrow_map, extra_columns, pack, pack_ints, pieces, unpack, u
 SHINGLE = 5
 #: Counters of the document-frequency sketch (one byte each when broadcast) and the slices it is merged in.
 SLOTS, SLICES = 1 << 22, 16
-#: Leaders a bucket in each round (then 16 times as many each), and the size up to which a bucket is exhausted at once.
-LEADERS, SMALL_BUCKET = (1, 16, 256, 4096), 16
+#: Leaders a bucket in each round (then 16 times as many each), the size up to which a bucket is exhausted at once,
+#: and the pairs of places in all buckets that are left, up to which these are exhausted in one round.
+LEADERS, SMALL_BUCKET, AT_ONCE = (1, 16, 256, 4096), 8, 5e7
 #: Members of one leader that a task compares.
 MEMBERS = 512
 #: Most node numbers (8 bytes each) and pairs of them (25 bytes a row, two rows at most) that are broadcast to pick sets by; more go through a shuffled join.
@@ -451,7 +453,7 @@ def cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
     pairs = lead.join(rest.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & near)
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), need.alias("need"), F.least("open_a", "open_b").alias("open"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.max("open").alias("open"))
-    return pairs.where(F.col("shared") + F.col("open") >= F.col("need")).select("a", "b", "shared")
+    return pairs.where(F.col("shared") + F.col("open") >= F.col("need")).select("a", "b")
 
 
 def stored_sets(src: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
@@ -511,40 +513,30 @@ def node_components(sets: DataFrame, classes: bytes, path: str) -> DataFrame:
     rows = rows.withColumns({"weight": F.sum(F.least("size", F.lit(10_000))).over(per_node), "kept": F.count("*").over(per_node), "open": _open(LEADERS[0]).over(per_node)})
     rows = rows.withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "node"))).drop("weight")
     rows = written(rows, f"{path}/ranked")
-    # first every set with the partner that shares most of its prefix, then what is still apart
-    likely = written(cross_pairs(rows.withColumn("component", F.col("node")), LEADERS[0]), f"{path}/likely")
-    each = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
-    best = each.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("first"), "a")).alias("s")).select(F.least("s.a", "b").alias("a"), F.greatest("s.a", "b").alias("b")).distinct()
-    best = written(best, f"{path}/pairs0")
-    known = written(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), f"{path}/known")
-    known = written(picked(sets, known), f"{path}/known-sets")
-    found = written(verified(best, known, f"{path}/round0"), f"{path}/links0")
-    components = connected_components(found)
-    tested, reach, k = best, 0, 0
-    while True:
-        k += 1
-        leaders = LEADERS[k - 1] if k <= len(LEADERS) else leaders * 16
-        label = components.select("node", "component")
-        if k == 1:
-            pairs = likely.select("a", "b").join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left")
-            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        else:
-            split = rows.where(F.col("size") > SMALL_BUCKET).join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = split.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("most")).where("lo <> hi").select("token", "most")
-            mixed = written(mixed, f"{path}/mixed{k}")
-            if mixed.where(F.col("most") > reach).isEmpty():
-                return components
-            # exhausted buckets stay in, as pairs are counted over all their common ones
-            split = split.drop("kept", "open").join(mixed, "token", "left_semi")
-            split = split.join(split.groupBy("node").agg(F.count("*").alias("kept"), _open(leaders).alias("open")), "node")
-            pairs = cross_pairs(split, leaders).select("a", "b")
+    pairs = written(cross_pairs(rows.withColumn("component", F.col("node")), LEADERS[0]), f"{path}/pairs0")
+    found = written(linked(pairs, sets, f"{path}/0"), f"{path}/links0")
+    components, tested, reach = connected_components(found), pairs, SMALL_BUCKET
+    for k in itertools.count(1):
+        # what is left: large buckets that are not of one component and not exhausted
+        split = rows.where(F.col("size") > SMALL_BUCKET).drop("kept", "open").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = split.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("most")).where("lo <> hi").select("token", "most")
+        mixed = written(mixed, f"{path}/mixed{k}")
+        most, work = mixed.agg(F.max("most"), F.sum(F.col("most").cast("double") ** 2)).first()
+        if most is None or most <= reach:
+            return components
+        leaders = most if work <= AT_ONCE else LEADERS[k] if k < len(LEADERS) else LEADERS[-1] * 16 ** (k - len(LEADERS) + 1)
+        # exhausted buckets stay in, as pairs are counted over all their common ones
+        split = split.join(mixed.drop("most"), "token", "left_semi")
+        split = split.join(split.groupBy("node").agg(F.count("*").alias("kept"), _open(leaders).alias("open")), "node")
+        pairs = written(cross_pairs(split, leaders).join(tested, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
         reach = max(SMALL_BUCKET, leaders)
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        if k > 1:
-            known = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{path}/known{k}")
-            known = written(picked(sets, known), f"{path}/known-sets{k}")
-        found = written(found.unionByName(verified(pairs, known, f"{path}/round{k}")), f"{path}/links{k}")
-        components = connected_components(found)
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            found = written(found.unionByName(linked(pairs, sets, f"{path}/{k}")), f"{path}/links{k}")
+            components = connected_components(found)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """The pairs that link, of a written table; the sets of their nodes are picked first."""
+    known = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"{path}-known")
+    return verified(pairs, written(picked(sets, known), f"{path}-sets"), path)

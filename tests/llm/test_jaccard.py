@@ -41,7 +41,9 @@ def test_against_all_pairs(spark, sf):
     assert got(QUERIES["op6_jaccard_join"](spark, sf)) == plain(docs)
 
 
-def test_families_and_edges(spark, monkeypatch):
+@pytest.mark.parametrize("at_once", [0, 5e7])
+def test_families_and_edges(spark, monkeypatch, at_once):
+    monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
     rng = random.Random(2)
     word = lambda: "w%d" % rng.randrange(5000)
     rows = [(1000 + i, t) for i, t in enumerate([None, "", " \n", "a", "A ", "a b", "A B C D E", "a b c d e", "a b c d e f", "x" * 5000])]
@@ -61,3 +63,26 @@ def test_families_and_edges(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as component")
     assert got(jaccard.link_components(df)) == plain(rows)
     assert jaccard.link_components(df.limit(0)).count() == 0
+
+
+def test_ids_and_names(spark):
+    """Null and repeated ids, repeated rows, an id of several columns, columns with the operator's names."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, "one two three"), (1, "four"), (None, text + " more"), (None, "alone here"), (7, text), (7, text), (3, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as tokens", "3 as component_id", "4 as n")
+    want = [(1, 56, 1), (1, 1, 1), (1, 1, 1), (None, 57, 1), (None, 1, None), (7, 56, 1), (7, 56, 1), (3, 0, 3), (3, 0, 3)]
+    assert sorted(map(tuple, jaccard.link_components(df).collect()), key=repr) == sorted(want, key=repr)
+    keyed = df.selectExpr("struct(doc_id is null as a, doc_id, text) as k", "text")
+    out = jaccard.link_components(keyed, id_col="k").collect()
+    assert {r.component_id for r in out if r.n_shingles in (56, 57)} == {(False, 1, text)}
+
+
+def test_set_of_a_long_text():
+    """Blocks cut texts between words; a word longer than a block stays whole."""
+    rng = random.Random(5)
+    words = ["w%d" % rng.randrange(9) for _ in range(300_000)] + ["y" * 600_000, "z"]
+    texts = [" ".join(words).encode(), b"", b" a\tB ", ("x " * 1000).encode()]
+    h, counts = jaccard.word_hashes(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts] and len(h) == counts.sum()
+    flat = [w for t in texts for w in t.lower().split()]
+    assert len({(a, b) for a, b in zip(flat, h.tolist(), strict=True)}) == len(set(flat)) == len(set(h.tolist()))
