@@ -3,8 +3,8 @@
 The encoding of every prefix of a byte string ends in exactly one token: the
 suffix token that is compatible with the last token of what precedes it, where
 two tokens are compatible if encoding their joined bytes gives the two again.
-A state of the transducer therefore holds the bytes read since the last token
-that is certain, with the last token at each position from which a longer token
+A state of the transducer therefore holds, for the bytes read since the last
+token that is certain, the last token at each position from which a longer token
 can still grow.  When the chains of all those positions share their first
 tokens, these are certain and are emitted: the lookahead is bounded by the
 longest token.  States and arcs are made when first needed and kept in a
@@ -17,17 +17,20 @@ state machine that holds back at most three bytes of an unfinished character.
 from __future__ import annotations
 
 import base64
+import codecs
 import gc
 import hashlib
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_map, extra_columns, pieces, texts
 
-MAX_STATES = 160_000
+MAX_STATES = 150_000
 MAX_PIECES = 200_000
 #: Ids that the streaming decoder takes at once.
 CHUNK = 4096
@@ -59,42 +62,63 @@ def merge_encode(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+class Node(dict):
+    """A node of the vocabulary's trie: children by byte, and the token that ends here, if merging its own bytes gives it."""
+
+    __slots__ = ("token",)
+
+
 class State(dict):
-    """Arcs by byte; pending bytes, lengths of the last token at kept positions (else 0), token before them."""
+    """Arcs by byte, and what the bytes since the last certain token allow, whatever that token is.
 
-    __slots__ = ("final", "lasts", "pending", "previous")
+    ``live`` has the positions from which a longer token can still grow, with
+    their trie nodes, longest first; ``last`` the last token that ends at a
+    position, ``chain`` a bit for each token end on the way to it.
+    """
+
+    __slots__ = ("chain", "final", "last", "live", "size")
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.tokens = {v: k for k, v in ranks.items()}
-        self.prefixes = {t[:i] for t in ranks for i in range(len(t) + 1)}
-        self.whole: dict[bytes, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.length = {v: len(k) for k, v in ranks.items()}
+        self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[bytes, bytes] | None] = {}
         self.edges: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
+        self.root = Node()
+        self.root.token = None
+        for t, i in ranks.items():
+            node = self.root
+            for b in t:
+                child = node.get(b)
+                if child is None:
+                    child = node[b] = Node()
+                    child.token = None
+                node = child
+            node.token = i
+        self.whole: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.start = self._state(None, b"", ())
+        self.start = self._state(0, ((0, self.root),), (0,), (0,), ())
 
-    def _is_token(self, t: bytes) -> bool:
-        """Whether t is a token that merging its own bytes gives."""
-        known = self.whole.get(t)
+    def _is_token(self, token: int) -> bool:
+        """Whether merging a token's own bytes gives it."""
+        known = self.whole.get(token)
         if known is None:
-            known = self.whole[t] = t in self.ranks and merge_encode(self.ranks, t) == [self.ranks[t]]
+            known = self.whole[token] = merge_encode(self.ranks, self.tokens[token]) == [token]
         return known
 
-    def _fits(self, left: int | None, right: int) -> bool:
-        if left is None:
-            return True
-        known = self.pairs.get((left, right))
+    def _fits(self, left: int, right: int) -> bool:
+        key = left << 24 | right
+        known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > 2 * self.max_states:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self._apart(left, right)
+            known = self.pairs[key] = self._apart(left, right)
         return known
 
     def _halves(self, token: int) -> tuple[bytes, bytes] | None:
@@ -140,119 +164,193 @@ class Transducer:
                         return False
         return True
 
-    def _chain(self, at: int, lasts: tuple[int, ...]) -> list[int]:
-        """Ends of the tokens from position ``at`` back to 0."""
-        out = []
-        while at > 0:
-            out.append(at)
-            at -= lasts[at - 1]
-        return out
-
-    def _emit(self, ends: list[int], pending: bytes, lasts: tuple[int, ...]) -> list[int]:
-        return [self.ranks[pending[e - lasts[e - 1] : e]] for e in reversed(ends)]
-
-    def _state(self, previous: int | None, pending: bytes, lasts: tuple[int, ...]) -> State:
-        key = (previous, pending, lasts)
+    def _state(self, size, live, last, chain, key) -> State:
         s = self.states.get(key)
         if s is None:
             s = self.states[key] = State()
-            s.previous, s.pending, s.lasts, s.final = previous, pending, lasts, None
+            s.size, s.live, s.last, s.chain, s.final = size, live, last, chain, None
         return s
 
-    def step(self, s: State, byte: int) -> tuple[State, list[int]]:
-        """Makes the arc of ``byte``: finds the one token that ends here, then what is certain by now."""
-        pending, old, ranks, prefixes = s.pending + bytes((byte,)), s.lasts, self.ranks, self.prefixes
-        n, length, live = len(pending), 0, []
-        for k in range(n):
-            if k and not old[k - 1]:
-                continue
-            t = pending[k:]
-            if t not in prefixes:
+    def _ends(self, last: tuple[int, ...], at: int) -> list[int]:
+        """The tokens on the way to position ``at``."""
+        out = []
+        while at:
+            out.append(last[at])
+            at -= self.length[last[at]]
+        return out[::-1]
+
+    def step(self, s: State, byte: int) -> list:
+        """Makes the arc of ``byte``: [next state, tokens that are certain by then, first, other].
+
+        If the bytes so far are a token, ``first``, it ends here provided that it
+        fits the last certain token; ``other`` says what holds if it does not.
+        """
+        live, first, found = [], None, None
+        for k, node in s.live:
+            node = node.get(byte)
+            if node is None:
                 continue
-            live.append(k)
-            if not length and t in ranks and self._is_token(t):
-                left = s.previous if k == 0 else ranks[pending[k - old[k - 1] : k]]
-                if self._fits(left, ranks[t]):
-                    length = n - k
-        if not length:
+            token = node.token
+            if token is not None and (first is None if not k else found is None) and self._is_token(token):
+                if not k:
+                    first = token
+                elif self._fits(s.last[k], token):
+                    found = token
+            if node:
+                live.append((k, node))
+        if first is None and found is None:
             raise ValueError("the vocabulary lacks a byte")
-        lasts = (*old, length)
-        shared = set(self._chain(n, lasts))
-        kept = set(shared)
-        for k in live:
-            chain = self._chain(k, lasts)
-            kept.update(chain)
-            shared.intersection_update(chain)
-        certain, out, previous = max(shared, default=0), (), s.previous
-        if certain:
-            out = self._emit(self._chain(certain, lasts), pending, lasts)
-            previous = out[-1]
-        if certain not in live and certain < n:
-            previous = None  # no longer token can start there, so its left neighbour no longer matters
-        target = self._state(previous, pending[certain:], tuple([lasts[k - 1] if k in kept else 0 for k in range(certain + 1, n + 1)]))
-        s[byte] = arc = (target, out)
+        if first is None:
+            arc = [*self._target(s, live, found), None, None]
+        else:
+            arc = [*self._target(s, live, first), first, (live, found)]
+        s[byte] = arc
         return arc
 
+    def _target(self, s: State, live: list, token: int) -> tuple[State, list[int]]:
+        """The state after ``token`` ends at the next position, and the tokens that are certain."""
+        n, size = s.size + 1, self.length[token]
+        bits = s.chain[n - size] | 1 << n
+        last, chain = (*s.last, token), (*s.chain, bits)
+        shared = kept = bits
+        for k, _ in live:
+            shared &= chain[k]
+            kept |= chain[k]
+        certain = shared.bit_length() - 1 if shared else 0
+        # a token can only grow from a position on some way that is still open
+        own = tuple([(k - certain, node) for k, node in (*live, (n, self.root)) if k >= certain])
+        left = (0, *[last[k] if kept >> k & 1 else -1 for k in range(certain + 1, n + 1)])
+        chain = tuple([x >> certain & ~1 if k == certain or kept >> k & 1 else 0 for k, x in enumerate(chain[certain:], certain)])
+        target = self._state(n - certain, own, left, chain, (left, tuple([(k, id(node)) for k, node in own])))
+        return target, self._ends(last, certain) if certain else ()
+
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one pre-token, as the library gives them."""
         if data in self.ranks:
             return [self.ranks[data]]
         if len(self.states) > self.max_states:
             self._reset()
-        s, out = self.start, []
+        s, out, previous = self.start, [], None
         for b in data:
             arc = s.get(b)
             if arc is None:
                 arc = self.step(s, b)
+            if arc[2] is not None and previous is not None and not self._fits(previous, arc[2]):
+                if arc[3].__class__ is tuple:
+                    live, found = arc[3]
+                    arc[3] = [*self._target(s, live, found), None, None]
+                arc = arc[3]
             s = arc[0]
             if arc[1]:
                 out += arc[1]
+                previous = out[-1]
         if s.final is None:
-            s.final = self._emit(self._chain(len(s.pending), s.lasts), s.pending, s.lasts)
+            s.final = self._ends(s.last, s.size)
         return out + s.final
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-class Utf8Machine:
-    """Incremental UTF-8 decoding; ``state`` is how many continuation bytes are still due."""
-
-    def __init__(self) -> None:
-        self.tail, self.state = b"", 0
-
-    def feed(self, data: bytes) -> str:
-        data = self.tail + data
-        cut = len(data)
-        self.state = 0
-        for back in range(1, min(3, len(data)) + 1):
-            b = data[-back]
-            if b & 0xC0 == 0x80:
-                continue
-            due = 1 if b & 0xE0 == 0xC0 else 2 if b & 0xF0 == 0xE0 else 3 if b & 0xF8 == 0xF0 else 0
-            if due >= back:
-                self.state, cut = due - back + 1, len(data) - back
-            break
-        self.tail = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+#: States of the UTF-8 machine besides 0 (between characters) and INVALID: range of the next byte and the state after it.
+_DUE = {1: (0x80, 0xBF, 0), 2: (0x80, 0xBF, 1), 3: (0x80, 0xBF, 2), 4: (0xA0, 0xBF, 1), 5: (0x80, 0x9F, 1), 6: (0x90, 0xBF, 2), 7: (0x80, 0x8F, 2)}
+INVALID = 8
 
-    def close(self) -> str:
-        tail, self.tail, self.state = self.tail, b"", 0
-        return tail.decode("utf-8", "replace")
 
+def utf8_table() -> np.ndarray:
+    """table[state, byte] of the machine that accepts exactly well-formed UTF-8: no surrogates, no overlong forms, nothing above U+10FFFF."""
+    table = np.full((9, 256), INVALID, np.uint8)
+    table[0, :0x80] = 0
+    table[0, 0xC2:0xE0] = 1
+    table[0, 0xE0:0xF0] = 2
+    table[0, 0xF0:0xF5] = 3
+    table[0, [0xE0, 0xED, 0xF0, 0xF4]] = 4, 5, 6, 7
+    for state, (lo, hi, after) in _DUE.items():
+        table[state, lo : hi + 1] = after
+    return table
+
+
+class Utf8Machine:
+    """Incremental UTF-8 decoding of tokens: the byte machine's table, lifted to whole tokens.
 
-def decode_stream(machine: Transducer, chunks: Iterable[Iterable[int]]) -> Iterator[str]:
-    """Text of a stream of id chunks, as early as whole characters allow."""
-    utf8 = Utf8Machine()
+    ``feed`` takes the next ids and returns the bytes of all characters that are
+    complete by then; of an unfinished character at most three bytes are held
+    back.  Ill-formed bytes become U+FFFD as Python's decoder has it.
+    """
+
+    def __init__(self, tokens: dict[int, bytes]) -> None:
+        most = max(tokens, default=-1) + 1
+        self.bytes: list[bytes] = [tokens.get(i, b"") for i in range(most)]
+        size = np.array([len(t) for t in self.bytes], np.int64)
+        table, begin = utf8_table(), np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        after = np.repeat(np.arange(9, dtype=np.uint8)[:, None], most, axis=1)
+        for k in range(int(size.max(initial=0))):
+            live = np.flatnonzero(size > k)
+            after[:, live] = table[after[:, live], flat[begin[live] + k]]
+        self.closed = after[0] == 0
+        self.after = [row.tolist() for row in after]
+        self.reset()
+
+    def reset(self) -> None:
+        self.state, self.tail = 0, b""
+
+    def feed(self, ids: np.ndarray) -> bytes:
+        tokens = ids.tolist()
+        data = self.tail + b"".join([self.bytes[i] for i in tokens])
+        state, after = self.state, self.after
+        if state or not self.closed[ids].all():
+            at, opened = 0, np.flatnonzero(~self.closed[ids]).tolist()
+            for k in [*([0] if state else []), *opened]:  # between characters, closed tokens change nothing
+                if k < at:
+                    continue
+                at = k
+                while at < len(tokens):
+                    state = after[state][tokens[at]]
+                    at += 1
+                    if not state or state == INVALID:
+                        break
+                if state == INVALID:
+                    return self._repaired(data)
+        self.state = state
+        if not state:
+            self.tail = b""
+            return data
+        cut = len(data) - 1
+        while data[cut] & 0xC0 == 0x80:
+            cut -= 1
+        self.tail = data[cut:]
+        return data[:cut]
+
+    def _repaired(self, data: bytes) -> bytes:
+        """Ill-formed bytes replaced; an unfinished character at the end is held back."""
+        reader = codecs.getincrementaldecoder("utf-8")("replace")
+        text = reader.decode(data)
+        self.tail, self.state = reader.getstate()[0], 0
+        table = utf8_table()
+        for b in self.tail:
+            self.state = int(table[self.state, b])
+        return text.encode()
+
+    def close(self) -> bytes:
+        """What is left at the end: an unfinished character is ill-formed."""
+        tail = self.tail
+        self.reset()
+        return tail.decode("utf-8", "replace").encode()
+
+
+def decode_stream(machine: Utf8Machine, chunks: Iterable[np.ndarray]) -> Iterator[bytes]:
+    """UTF-8 text of a stream of id chunks, as early as whole characters allow."""
+    machine.reset()
     for ids in chunks:
-        if text := utf8.feed(machine.decode(ids)):
-            yield text
-    if text := utf8.close():
-        yield text
+        if part := machine.feed(ids):
+            yield part
+    if part := machine.close():
+        yield part
 
 
 class PieceCache:
-    """Token ids of pre-tokens that this worker has met, in two generations.
+    """Ids, four bytes each, of the pre-tokens that this worker has met, in two generations.
 
     When the young one is full it becomes the old one; what is asked for again
     moves back.  So the size is bounded and frequent pre-tokens stay.
@@ -260,14 +358,16 @@ class PieceCache:
 
     def __init__(self, machine: Transducer, most: int = MAX_PIECES):
         self.machine, self.most, self.known, self.old = machine, most, {}, {}
-        self.decimals = {i: str(i) for i in machine.tokens}
+        self.utf8 = Utf8Machine(machine.tokens)
+        self.decimals = [str(i) for i in range(max(machine.tokens, default=-1) + 1)]
 
-    def __call__(self, piece: str) -> tuple[int, ...]:
+    def __call__(self, piece: str) -> bytes:
         got = self.known.get(piece)
         if got is None:
             got = self.old.get(piece)
             if got is None:
-                got = tuple(self.machine.encode(piece.encode()))
+                ids = self.machine.encode(piece.encode())
+                got = struct.pack(f"{len(ids)}I", *ids)
             if len(piece) <= 64:
                 if len(self.known) >= self.most:
                     self.old = self.known.copy()
@@ -275,6 +375,9 @@ class PieceCache:
                 self.known[piece] = got
         return got
 
+    def count(self, piece: str) -> int:
+        return len(self(piece)) // 4
+
 
 class Splitter:
     """All matches of the pre-token pattern, by the faster of two modules that agree on the text."""
@@ -322,29 +425,36 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col
     arrow = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, find = worker_tools(*shared.value)
-        get, decimal = piece.known.get, piece.decimals.__getitem__
+        tools = worker_tools(*shared.value)
         for whole in batches:
             for batch in pieces(whole):
-                cols: dict[str, list] = {o: [] for o in outputs}
-                for text in texts(batch.column(1)):
-                    ids = [i for p in find(text) for i in get(p) or piece(p)]
-                    if "n_tokens" in cols:
-                        cols["n_tokens"].append(len(ids))
-                    if "ids" in cols:
-                        cols["ids"].append(ids)
-                    if "ids_sha256" in cols:
-                        cols["ids_sha256"].append(hashlib.sha256(" ".join(map(decimal, ids)).encode()).hexdigest())
-                    if "decoded" in cols or "decoded_sha256" in cols:
-                        digest, parts = hashlib.sha256(), []
-                        for part in decode_stream(piece.machine, (ids[k : k + CHUNK] for k in range(0, len(ids), CHUNK))):
-                            digest.update(part.encode())
-                            if "decoded" in cols:
-                                parts.append(part)
-                        if "decoded_sha256" in cols:
-                            cols["decoded_sha256"].append(digest.hexdigest())
-                        if "decoded" in cols:
-                            cols["decoded"].append("".join(parts))
+                cols = encoded(texts(batch.column(1)), tools, outputs)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], arrow[o]) for o in outputs)], names=[id_col, *outputs])
 
     return arrow_map(src, run, schema)
+
+
+def encoded(rows: list[str], tools: tuple[PieceCache, Splitter], outputs: tuple[str, ...]) -> dict[str, list]:
+    """The outputs of texts, by name; what is decoded comes from the ids alone, by the streaming machine."""
+    piece, find = tools
+    get, decimals = piece.known.get, piece.decimals
+    cols: dict[str, list] = {o: [] for o in outputs}
+    for text in rows:
+        ids = np.frombuffer(b"".join([get(p) or piece(p) for p in find(text)]), np.uint32)
+        if "n_tokens" in cols:
+            cols["n_tokens"].append(len(ids))
+        if "ids" in cols:
+            cols["ids"].append(ids.astype(np.int32))
+        if "ids_sha256" in cols:
+            cols["ids_sha256"].append(hashlib.sha256(" ".join([decimals[i] for i in ids.tolist()]).encode()).hexdigest())
+        if "decoded" in cols or "decoded_sha256" in cols:
+            digest, parts = hashlib.sha256(), []
+            for part in decode_stream(piece.utf8, (ids[k : k + CHUNK] for k in range(0, len(ids), CHUNK))):
+                digest.update(part)
+                if "decoded" in cols:
+                    parts.append(part)
+            if "decoded_sha256" in cols:
+                cols["decoded_sha256"].append(digest.hexdigest())
+            if "decoded" in cols:
+                cols["decoded"].append(b"".join(parts).decode())
+    return cols

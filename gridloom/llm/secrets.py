@@ -144,7 +144,7 @@ def scan_secrets(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col: st
         piece, find = worker_tools(*shared.value)
 
         def count(run: str) -> int:
-            return sum(len(piece(p)) for p in find(run))
+            return sum(piece.count(p) for p in find(run))
 
         for whole in batches:
             for batch in pieces(whole):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -63,10 +64,34 @@ def test_transducer_on_random_bytes():
         ids = m.encode(s)
         assert ids == ([ranks[s]] if s in ranks else bpe.merge_encode(ranks, s))
         assert m.decode(ids) == s
-    text = "aé漢😀" * 50
-    u = bpe.Utf8Machine()
-    assert "".join(u.feed(bytes([b])) for b in text.encode()) + u.close() == text
-    assert "".join(bpe.decode_stream(m, [[i] for i in m.encode(text.encode())])) == text
+
+
+def test_utf8_machine():
+    """Chunks of any length, whole and broken characters, against Python's decoder."""
+    rng = random.Random(8)
+    single = bpe.Utf8Machine({i: bytes([i]) for i in range(256)})
+    ranks = bpe.parse_ranks(read_file(P.path("byte_bpe_50k.tiktoken")))
+    m = bpe.Transducer(ranks)
+    words = bpe.Utf8Machine(m.tokens)
+    for _ in range(300):
+        text = "".join(rng.choice("a é漢😀\u07ff\ud7ff\uffff\U0010ffff") for _ in range(rng.randrange(40)))
+        for machine, ids in ((single, list(text.encode())), (words, m.encode(text.encode()))):
+            cuts = sorted(rng.randrange(len(ids) + 1) for _ in range(5))
+            chunks = [np.array(ids[a:b], np.uint32) for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
+            parts = list(bpe.decode_stream(machine, chunks))
+            assert b"".join(parts).decode() == text
+            for part in parts:
+                part.decode()  # whole characters only
+        broken = bytes(rng.choice(b"\x41\xc3\xa9\xe6\xbc\xa2\xf0\x9f\x98\xed\xa0\xc0\xf5\xff") for _ in range(rng.randrange(12)))
+        ids = [np.array(list(broken[i : i + 3]), np.uint32) for i in range(0, len(broken), 3)]
+        assert b"".join(bpe.decode_stream(single, ids)).decode() == broken.decode("utf-8", "replace")
+
+
+def test_decoding_goes_through_the_machine(monkeypatch):
+    tools = bpe.worker_tools(read_file(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    assert bpe.encoded(["ab é"], tools, ("decoded",))["decoded"] == ["ab é"]
+    monkeypatch.setattr(bpe.Utf8Machine, "feed", lambda self, ids: b"?")
+    assert bpe.encoded(["ab é"], tools, ("decoded", "decoded_sha256")) == {"decoded": ["?"], "decoded_sha256": [sha("?")]}
 
 
 def test_token_counts_equal_library(docs, rows):
