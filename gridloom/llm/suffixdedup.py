@@ -32,10 +32,12 @@ from .common import arrow_map, extra_columns, pieces
 LENGTH, GRAM = 200, 50
 HALF = (LENGTH - GRAM) // 2
 #: Bytes of contexts that one construction sorts, and contexts of a key beyond which its windows are counted instead.
-CHUNK, HOT_CONTEXTS = 1_000_000, 20_000
+CHUNK, HOT_CONTEXTS = 50_000, 20_000
 #: Windows of a text, and about as many bytes, whose minimisers are found at once; low bits of a hash that hold a place among them.
-BLOCK = 1 << 20
-_POS = np.uint64((1 << 26) - 1)
+BLOCK = 1 << 16
+_POS = np.uint64((1 << 18) - 1)
+#: The part of a suffix's number that holds a rank.
+_RANK = np.int64(2**32 - 1)
 
 
 class Powers:
@@ -155,52 +157,48 @@ def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     LENGTH), and for each string the rank of the whole string.
     """
     n = len(strings)
-    size = np.array([len(s) for s in strings])
-    longest = int(size.max(initial=0))
+    size = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8)
     stop = np.cumsum(size)
-    tail = np.zeros(n, np.int64)  # the empty suffixes come first
+    by_size = np.argsort(-size, kind="stable")
+    many = len(strings) - np.searchsorted(size[by_size][::-1], np.arange(int(size.max(initial=0))), "right")
+    # first symbol and rank of the tail of each suffix in one number; the empty suffixes come first
+    key = np.full(n, -1, np.int64)
     common = np.zeros(n, np.uint8)
-    edge = np.full(257, n, np.int64)  # where the suffixes that start with each symbol begin
     place = np.arange(n, dtype=np.int64)  # rank of each string's latest suffix
-    for j in range(longest):
-        live = np.flatnonzero(size > j)
-        symbol, p = flat[stop[live] - 1 - j].astype(np.int64), place[live]
-        order = np.lexsort((p, symbol))
-        live, symbol, p = live[order], symbol[order], p[order]
-        m = len(live)
-        cut = np.searchsorted(symbol, np.arange(257))
-        ins = np.empty(m, np.int64)
-        for c in np.unique(symbol):
-            lo, hi = cut[c], cut[c + 1]
-            ins[lo:hi] = edge[c] + np.searchsorted(tail[edge[c] : edge[c + 1]], p[lo:hi])
-        new = ins + np.arange(m)
-        old = len(tail)
-        shift = np.cumsum(np.bincount(ins, minlength=old + 1)[:old])
-        shift += np.arange(old)  # where the old suffixes go
-        # tails and common prefixes of old and new suffixes side by side, tails still as ranks before this round
-        tails, shared = np.empty(old + m, np.int64), np.empty(old + m, np.uint8)
-        tails[new], tails[shift] = p, tail
-        shared[new], shared[shift] = 0, common
-        edge = edge + cut  # as many smaller symbols came in
+    for j in range(len(many)):
+        live = by_size[: many[j]]
+        own = (flat[stop[live] - 1 - j].astype(np.int64) << 32) | place[live]
+        order = np.argsort(own)
+        live, own = live[order], own[order]
+        m, old = len(live), len(key)
+        new = np.searchsorted(key, own) + np.arange(m)
+        kept = np.ones(old + m, bool)
+        kept[new] = False
+        shift = np.flatnonzero(kept)  # where the old suffixes go
+        merged, shared = np.empty(old + m, np.int64), np.zeros(old + m, np.uint8)
+        merged[new], merged[shift] = own, key
+        shared[shift] = common
         # only a new suffix and the one after it have a new neighbour
         check = np.unique(np.concatenate((new, new[new + 1 < old + m] + 1)))
-        check = check[check >= edge[0]]
-        kind = np.searchsorted(edge, check, "right")
-        same = check > edge[kind - 1]
+        left, right = merged[check - 1], merged[check]
+        same = (left >> 32 == right >> 32) & (check > n)
         shared[check[~same]] = 0
         check = check[same]
         if len(check):
-            lo, hi = tails[check - 1] + 1, tails[check] + 1
+            lo, hi = (left[same] & _RANK) + 1, (right[same] & _RANK) + 1
             by = np.argsort(lo, kind="stable")
             pairs = np.empty(2 * len(check), np.int64)
             pairs[::2], pairs[1::2] = lo[by], hi[by]
             least = np.minimum.reduceat(np.append(common, np.uint8(0)), pairs)[::2]
             shared[check[by]] = np.minimum(least, LENGTH - 1) + 1
-        tail, common = shift[tails], shared
+        # tails were ranks before this round
+        filled = merged[n:]
+        merged[n:] = (filled & ~_RANK) | shift[filled & _RANK]
+        key, common = merged, shared
         place = shift[place]
         place[live] = new
-    return tail, common, place
+    return key & _RANK, common, place
 
 
 def repeated_windows(strings: list[bytes], many: np.ndarray) -> list[tuple[int, int, int]]:
@@ -222,7 +220,6 @@ def repeated_windows(strings: list[bytes], many: np.ndarray) -> list[tuple[int,
 
 def _occurrences(src: DataFrame, halves: bool = False) -> DataFrame:
     names = ["id", "a", "n", "key", "content", *(["left", "right"] if halves else [])]
-    kind = src.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -232,7 +229,7 @@ def _occurrences(src: DataFrame, halves: bool = False) -> DataFrame:
                 if len(owner):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(x, pa.int32() if k < 2 else pa.int64()) for k, x in enumerate(found[: len(names) - 1]))], names=names)
 
-    return arrow_map(src, run, f"id {kind}, a int, n int, key bigint, content bigint" + ", left bigint, right bigint" * halves)
+    return arrow_map(src.select("id", "text"), run, "id bigint, a int, n int, key bigint, content bigint" + ", left bigint, right bigint" * halves)
 
 
 def _cut_out(src: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,8 +245,7 @@ def _cut_out(src: DataFrame, wanted: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names=["key", "content", "many", "hot", "bytes"])
 
-    lists = lists.withColumnRenamed("id", "_id")
-    return arrow_map(src.where("text is not null").join(lists, F.col("id").eqNullSafe(F.col("_id"))).select("text", "wanted"), run, "key bigint, content bigint, many boolean, hot boolean, bytes binary")
+    return arrow_map(src.join(lists, "id").select("text", "wanted"), run, "key bigint, content bigint, many boolean, hot boolean, bytes binary")
 
 
 _HITS = "key bigint, content bigint, start int, end int"
@@ -299,22 +295,25 @@ def _counted_hits(rows: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """One row per document: id, n_bytes (long), spans array<struct<start,end>> of removed bytes, kept binary.
 
-    Null text is empty.  Ids are unique up to repeated rows of one text, which
-    repeat each other and lose all their windows; null ids stand for one document.
+    Null text is empty.  Every row counts as a document of its own, whatever its
+    id: null and repeated ids are returned as they are, with their own text's
+    spans, and repeated rows repeat each other and lose all their windows.
     Texts under 200 bytes lose nothing; an empty table gives no rows; other
     columns are ignored.
     """
     spark = docs.sparkSession
     path = scratch_dir(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    src = extra_columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # rows get numbers of their own, which hold once they are written
+    src = extra_columns(docs, [id_col, text_col]).select(F.monotonically_increasing_id().alias("id"), F.col(f"`{id_col}`").alias("own"), F.col(f"`{text_col}`").alias("text"))
+    src = written(src, f"{path}/rows")
     # counts are partial before each shuffle, so a key or context that fills much of the corpus is one row a task
     same = _occurrences(src).groupBy("key", "content").agg(F.count("*").alias("times"), F.min("id").alias("first"))
     by_key = Window.partitionBy("key")
     same = same.withColumn("all", F.sum("times").over(by_key)).withColumn("classes", F.count("*").over(by_key)).where("all > 1")
     same = written(same.select("key", "content", (F.col("times") > 1).alias("many"), "first", "classes"), f"{path}/classes")
     occ = written(_occurrences(src, halves=True).join(same, ["key", "content"]), f"{path}/occurrences")
-    stands = occ.where((F.col("classes") > 1) & F.col("id").eqNullSafe(F.col("first"))).groupBy("key", "content").agg(F.min("a").alias("a"), *[F.first(c).alias(c) for c in ("id", "n", "many", "classes", "left", "right")])
+    stands = occ.where((F.col("classes") > 1) & (F.col("id") == F.col("first"))).groupBy("key", "content").agg(F.min("a").alias("a"), *[F.first(c).alias(c) for c in ("id", "n", "many", "classes", "left", "right")])
     shared = lambda c: F.count("*").over(Window.partitionBy("key", c)) > 1
     stands = stands.withColumns({"l": shared("left"), "r": shared("right")}).where("l or r")
     wanted = stands.select("id", "a", "n", "key", "content", "many", (F.col("classes") > hot_contexts).alias("hot"))
@@ -326,7 +325,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spans = occ.where("not many").join(hits, ["key", "content"]).select("id", (F.col("a") + F.col("start")).alias("start"), (F.col("a") + F.col("end") - 1 + LENGTH).alias("end"))
     spans = spans.unionByName(occ.where("many").select("id", F.col("a").alias("start"), (F.col("a") + F.col("n") - 1 + LENGTH).alias("end")))
     spans = written(spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), f"{path}/spans")
-    joined = src.join(spans.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "spans")
+    joined = src.join(spans, "id", "left").select("own", "text", "spans")
     names = [id_col, "n_bytes", "spans", "kept"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 

@@ -61,6 +61,9 @@ def test_made_cases(spark, hot):
     rows += [(100 + i, text(rng.randrange(1, 90)) + passage + text(rng.randrange(1, 90))) for i in range(15)]
     rows += [(200 + i, base[: rng.randrange(len(base))] + word() + base[rng.randrange(len(base)) :]) for i in range(15)]
     rows += [(None, text(60)), (9, base)]
+    # rows without an id, and one id with different texts: only what repeats goes
+    inner = text(40)
+    rows += [(None, inner + inner + text(10)), (None, text(70)), (7, text(30) * 2), (7, text(80)), (7, text(80))]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as spans")
     from pyspark.sql import functions as F
 
