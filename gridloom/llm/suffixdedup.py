@@ -30,7 +30,10 @@ from gridloom.runtime import scratch_dir, written
 from .common import arrow_map, extra_columns, pieces
 
 LENGTH, GRAM = 200, 50
-HALF = (LENGTH - GRAM) // 2
+#: A window holds its minimiser with between 0 and LENGTH - GRAM bytes on its left: classes of windows by these, and the bytes
+#: on the left and right of the gram that all windows of a class hold.
+CLASSES = ((0, 37), (37, 75), (75, 112), (112, LENGTH - GRAM + 1))
+SIDES = tuple((lo, LENGTH - GRAM - hi + 1) for lo, hi in CLASSES)
 #: Bytes of contexts that one construction sorts, and contexts of a key beyond which its windows are counted instead.
 CHUNK, HOT_CONTEXTS = 50_000, 20_000
 #: Windows of a text, and about as many bytes, whose minimisers are found at once; low bits of a hash that hold a place among them.
@@ -81,7 +84,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text index, first window, number of windows, key, content hash, left half, right half) of every context.
+    """(text index, first window, number of windows, bytes before the gram, key, content hash, and the classes' hashes in two numbers) of every context.
 
     Longer texts are cut into blocks that overlap by less than a window, so that
     every window is in one block and has the minimiser that it has in the text; a
@@ -110,13 +113,12 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def _contexts_of_blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """The same of texts whose places all fit in the low bits of a hash.
 
-    Every window holds the minimiser with HALF bytes on its left or on its right,
-    so a window can only be repeated if one of these two strings is; a context too
-    short on one side has its content hash there.
+    Windows of one class hold the minimiser with the same bytes round it, so they
+    can only be repeated if this stretch is; each class has 32 bits of its hash.
     """
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
-    none = tuple(np.empty(0, np.int64) for _ in range(7))
+    none = tuple(np.empty(0, np.int64) for _ in range(8))
     if len(data) < LENGTH:
         return none
     if len(data) > int(_POS):
@@ -141,12 +143,19 @@ def _contexts_of_blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     content = _HASHES[0].of(sums[0], a, stop) + np.uint64(0xC2B2AE3D27D4EB4F) * _HASHES[1].of(sums[1], a, stop) + count.astype(np.uint64)
     begins = np.concatenate(([0], ends[:-1]))
     m = low[f]
-    left, right = content.copy(), content.copy()
-    wide = m - a >= HALF
-    left[wide] = _HASHES[1].of(sums[1], m[wide] - HALF, m[wide] + GRAM)
-    wide = stop - m >= GRAM + HALF
-    right[wide] = _HASHES[1].of(sums[1], m[wide], m[wide] + GRAM + HALF)
-    return owner[f], a - begins[owner[f]], count, grams[m].view(np.int64), content.view(np.int64), left.view(np.int64), right.view(np.int64)
+    lead, marks = m - a, []
+    for (lo, hi), (before, after) in zip(CLASSES, SIDES, strict=True):
+        has = has_class(lead, count, lo, hi)
+        mark = content >> np.uint64(32)
+        mark[has] = _HASHES[1].of(sums[1], m[has] - before, m[has] + GRAM + after) >> np.uint64(32)
+        marks.append(mark)
+    two = [(marks[i] << np.uint64(32) | marks[i + 1]).view(np.int64) for i in (0, 2)]
+    return owner[f], a - begins[owner[f]], count, lead, grams[m].view(np.int64), content.view(np.int64), *two
+
+
+def has_class(lead, count, lo: int, hi: int):
+    """Whether a context has windows with at least ``lo`` and fewer than ``hi`` bytes before the gram."""
+    return (lead >= lo) & (lead - count + 1 < hi)
 
 
 def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,34 +227,57 @@ def repeated_windows(strings: list[bytes], many: np.ndarray) -> list[tuple[int,
     return list(zip(s.tolist(), a.tolist(), b.tolist(), strict=True))
 
 
-def _occurrences(src: DataFrame, halves: bool = False) -> DataFrame:
-    names = ["id", "a", "n", "key", "content", *(["left", "right"] if halves else [])]
+def _occurrences(src: DataFrame, marks: bool = False) -> DataFrame:
+    """(id, at, key, content) of every context, and with ``marks`` the classes' hashes.  ``at`` is the first window, then 8 bits for the number of windows and 8 for the bytes before the gram."""
+    names = ["id", "at", "key", "content", *(["m01", "m23"] if marks else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 256):
                 texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-                owner, *found = contexts(texts)
+                owner, first, count, lead, *rest = contexts(texts)
                 if len(owner):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(x, pa.int32() if k < 2 else pa.int64()) for k, x in enumerate(found[: len(names) - 1]))], names=names)
+                    found = [first << 16 | count << 8 | lead, *rest][: len(names) - 1]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(x, pa.int64()) for x in found)], names=names)
+
+    return arrow_map(src.select("id", "text"), run, ", ".join(f"{n} bigint" for n in names))
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    return df.withColumns({"a": F.shiftright("at", 16), "n": F.shiftright("at", 8).bitwiseAND(255).cast("int"), "lead": F.col("at").bitwiseAND(255).cast("int")}).drop("at")
+
 
-    return arrow_map(src.select("id", "text"), run, "id bigint, a int, n int, key bigint, content bigint" + ", left bigint, right bigint" * halves)
+def _shared_part(stands: DataFrame) -> DataFrame:
+    """Contexts of which another of the key shares a class, cut to the windows of such classes: ``a`` and ``n`` are those of the cut, ``skip`` the windows before it."""
+    c = F.col
+    mark = [F.shiftright("m01", 32), c("m01").bitwiseAND((1 << 32) - 1), F.shiftright("m23", 32), c("m23").bitwiseAND((1 << 32) - 1)]
+    out = stands.repartition("key").withColumns({f"_m{i}": m for i, m in enumerate(mark)})
+    for i, (lo, hi) in enumerate(CLASSES):
+        out = out.withColumn(f"_s{i}", has_class(c("lead"), c("n"), lo, hi) & (F.count("*").over(Window.partitionBy("key", f"_m{i}")) > 1))
+    low = F.coalesce(*[F.when(c(f"_s{i}"), lo) for i, (lo, _) in enumerate(CLASSES)])
+    high = F.coalesce(*[F.when(c(f"_s{i}"), hi - 1) for i, (_, hi) in reversed([*enumerate(CLASSES)])])
+    # the first window has the most bytes before the gram
+    out = out.where(low.isNotNull()).withColumns({"_from": F.least(high, c("lead")), "_to": F.greatest(low, c("lead") - c("n") + 1)})
+    skip = c("lead") - c("_from")
+    return out.select("id", (c("a") + skip).alias("a"), (c("_from") - c("_to") + 1).cast("int").alias("n"), skip.cast("int").alias("skip"), "key", "content", "many", "classes")
 
 
 def _cut_out(src: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, content, many, hot, bytes) of the wanted contexts: (id, a, n, key, content, many, hot)."""
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("a", "n", "key", "content", "many", "hot")).alias("wanted"))
+    """(key, content, skip, many, hot, bytes) of the wanted parts of contexts: (id, a, n, skip, key, content, many, hot)."""
+    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("key", "content", "skip", "many", "hot", "a", "n")).alias("wanted"))
+    names = ["key", "content", "skip", "many", "hot"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 128):
                 rows = []
                 for text, lst in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    rows += [(w["key"], w["content"], w["many"], w["hot"], text[w["a"] : w["a"] + w["n"] - 1 + LENGTH]) for w in lst]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()), strict=True)], names=["key", "content", "many", "hot", "bytes"])
+                    rows += [(*[w[x] for x in names], text[w["a"] : w["a"] + w["n"] - 1 + LENGTH]) for w in lst]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[*names, "bytes"])
 
-    return arrow_map(src.join(lists, "id").select("text", "wanted"), run, "key bigint, content bigint, many boolean, hot boolean, bytes binary")
+    return arrow_map(src.join(lists, "id").select("text", "wanted"), run, "key bigint, content bigint, skip int, many boolean, hot boolean, bytes binary")
 
 
 _HITS = "key bigint, content bigint, start int, end int"
@@ -255,27 +287,28 @@ def _sorted_hits(rows: DataFrame) -> DataFrame:
     """Runs of repeated windows of contexts that come by whole keys, sorted by key in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, contents, many, data, size = [], [], [], [], 0
+        keys, contents, skips, many, data, size = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             hits = repeated_windows(data, np.array(many, bool)) if data else []
-            cols = [[keys[s] for s, _, _ in hits], [contents[s] for s, _, _ in hits], [a for _, a, _ in hits], [b for _, _, b in hits]]
+            cols = [[keys[s] for s, _, _ in hits], [contents[s] for s, _, _ in hits], [a + skips[s] for s, a, _ in hits], [b + skips[s] for s, _, b in hits]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "content", "start", "end"])
 
         for whole in batches:
             for batch in pieces(whole, 2000):
-                for key, content, m, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for key, content, skip, m, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                     if size >= CHUNK and key != keys[-1]:
                         yield flush()
-                        keys, contents, many, data, size = [], [], [], [], 0
+                        keys, contents, skips, many, data, size = [], [], [], [], [], 0
                     keys.append(key)
                     contents.append(content)
+                    skips.append(skip)
                     many.append(m)
                     data.append(b)
                     size += len(b)
         yield flush()
 
-    return arrow_map(rows.select("key", "content", "many", "bytes"), run, _HITS)
+    return arrow_map(rows.select("key", "content", "skip", "many", "bytes"), run, _HITS)
 
 
 def _counted_hits(rows: DataFrame) -> DataFrame:
@@ -284,10 +317,10 @@ def _counted_hits(rows: DataFrame) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, 500):
-                out = [(hashlib.blake2b(b[k : k + LENGTH], digest_size=16).digest(), key, content, k, m) for key, content, m, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for k in range(len(b) - LENGTH + 1)]
+                out = [(hashlib.blake2b(b[k : k + LENGTH], digest_size=16).digest(), key, content, k + skip, m) for key, content, skip, m, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True) for k in range(len(b) - LENGTH + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["window", "key", "content", "k", "many"])
 
-    w = arrow_map(rows.select("key", "content", "many", "bytes"), windows, "window binary, key bigint, content bigint, k int, many boolean")
+    w = arrow_map(rows.select("key", "content", "skip", "many", "bytes"), windows, "window binary, key bigint, content bigint, k int, many boolean")
     twice = w.groupBy("window").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("window")
     return w.join(twice, "window", "left_semi").select("key", "content", F.col("k").alias("start"), (F.col("k") + 1).alias("end"))
 
@@ -312,11 +345,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     by_key = Window.partitionBy("key")
     same = same.withColumn("all", F.sum("times").over(by_key)).withColumn("classes", F.count("*").over(by_key)).where("all > 1")
     same = written(same.select("key", "content", (F.col("times") > 1).alias("many"), "first", "classes"), f"{path}/classes")
-    occ = written(_occurrences(src, halves=True).join(same, ["key", "content"]), f"{path}/occurrences")
-    stands = occ.where((F.col("classes") > 1) & (F.col("id") == F.col("first"))).groupBy("key", "content").agg(F.min("a").alias("a"), *[F.first(c).alias(c) for c in ("id", "n", "many", "classes", "left", "right")])
-    shared = lambda c: F.count("*").over(Window.partitionBy("key", c)) > 1
-    stands = stands.withColumns({"l": shared("left"), "r": shared("right")}).where("l or r")
-    wanted = stands.select("id", "a", "n", "key", "content", "many", (F.col("classes") > hot_contexts).alias("hot"))
+    occ = written(_occurrences(src, marks=True).join(same, ["key", "content"]), f"{path}/occurrences")
+    stands = occ.where((F.col("classes") > 1) & (F.col("id") == F.col("first"))).groupBy("key", "content").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("id", "many", "classes", "m01", "m23")])
+    wanted = _shared_part(_unpacked(stands)).withColumn("hot", F.col("classes") > hot_contexts)
+    occ = _unpacked(occ)
     texts = written(_cut_out(src, wanted), f"{path}/contexts")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // 15_000))
     hits = _sorted_hits(texts.where("not hot").repartition(parts, "key").sortWithinPartitions("key", "content"))

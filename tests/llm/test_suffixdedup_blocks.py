@@ -22,13 +22,14 @@ def test_more_bytes_than_places(monkeypatch, long):
     monkeypatch.setattr(S, "_POS", np.uint64((1 << 12) - 1))
     monkeypatch.setattr(S, "BLOCK", 1 << 10, raising=False)
     all_texts = texts(long)
-    owner, first, count, key, content, left, right = S.contexts(all_texts)
     seen, keys = {}, {}
-    for o, a, n, k, c, lh, rh in zip(*(x.tolist() for x in (owner, first, count, key, content, left, right)), strict=True):
+    for o, a, n, lead, k, c, *two in zip(*(x.tolist() for x in S.contexts(all_texts)), strict=True):
         keys.setdefault(k, {}).setdefault(c, []).append((o, a, n))
+        marks = [two[i // 2] >> 32 * (1 - i % 2) & 0xFFFFFFFF for i in range(4)]
         for w in range(a, a + n):
             assert (o, w) not in seen
-            seen[o, w] = (k, lh, rh)
+            (at,) = (i for i, (lo, hi) in enumerate(S.CLASSES) if lo <= lead - (w - a) < hi)
+            seen[o, w] = (k, marks[at])
     where = {}
     for o, t in enumerate(all_texts):
         for w in range(len(t) - S.LENGTH + 1):
@@ -37,8 +38,7 @@ def test_more_bytes_than_places(monkeypatch, long):
     twice = {p for places in where.values() if len(places) > 1 for p in places}
     for places in where.values():
         assert len({seen[p][0] for p in places}) == 1
-        if len(places) > 1:  # pruning by halves keeps one that it shares with another
-            assert len({seen[p][1] for p in places}) == 1 or len({seen[p][2] for p in places}) == 1
+        assert len({seen[p][1] for p in places}) == 1  # pruning by classes keeps what is repeated
     found = set()
     for contexts in keys.values():
         lists = list(contexts.values())
