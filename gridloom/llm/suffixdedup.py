@@ -39,8 +39,8 @@ CHUNK, HOT_CONTEXTS = 50_000, 20_000
 #: Windows of a text, and about as many bytes, whose minimisers are found at once; low bits of a hash that hold a place among them.
 BLOCK = 1 << 16
 _POS = np.uint64((1 << 18) - 1)
-#: The part of a suffix's number that holds a rank.
-_RANK = np.int64(2**32 - 1)
+#: The part of a suffix's number that holds a rank; the rest is its first symbol.
+_RANK = np.uint32(2**24 - 1)
 
 
 class Powers:
@@ -61,9 +61,17 @@ class Powers:
         self.upto(len(data) + 1)
         return np.concatenate(([np.uint64(0)], np.cumsum(self.values[data] * self.up[: len(data)], dtype=np.uint64)))
 
+    def each(self, sums: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of all stretches of a size."""
+        n = len(sums) - size
+        return self._mixed((sums[size:] - sums[:n]) * self.down[:n])
+
     def of(self, sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Hashes of the stretches [start, stop), whatever their place."""
-        h = (sums[stop] - sums[start]) * self.down[start]
+        return self._mixed((sums[stop] - sums[start]) * self.down[start])
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         return h ^ (h >> np.uint64(32))
 
@@ -125,13 +133,13 @@ def _contexts_of_blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         raise ValueError("more bytes than places")
     sums = [p.sums(data) for p in _HASHES]
     at = np.arange(len(data) - GRAM + 1)
-    grams = _HASHES[0].of(sums[0], at, at + GRAM)
+    grams = _HASHES[0].each(sums[0], GRAM)
     # the order is by hash, then leftmost: the low bits hold the place
     low = sliding_min((grams & ~_POS) | at.astype(np.uint64), LENGTH - GRAM + 1) & _POS
     start = np.arange(len(data) - LENGTH + 1)
-    owner = np.searchsorted(ends, start, "right")
-    inside = start + LENGTH <= ends[owner]
-    start, owner, low = start[inside], owner[inside], low[inside].astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[: len(start)]
+    inside = np.flatnonzero(start + LENGTH <= ends[owner])
+    start, owner, low = inside, owner[inside], low[inside].astype(np.int64)
     if not len(start):
         return none
     first = np.ones(len(start), bool)
@@ -172,30 +180,32 @@ def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     by_size = np.argsort(-size, kind="stable")
     many = len(strings) - np.searchsorted(size[by_size][::-1], np.arange(int(size.max(initial=0))), "right")
     # first symbol and rank of the tail of each suffix in one number; the empty suffixes come first
-    key = np.full(n, -1, np.int64)
+    if n + int(size.sum()) > _RANK:
+        raise ValueError("more suffixes than ranks")
+    key = np.zeros(n, np.uint32)
     common = np.zeros(n, np.uint8)
     place = np.arange(n, dtype=np.int64)  # rank of each string's latest suffix
     for j in range(len(many)):
         live = by_size[: many[j]]
-        own = (flat[stop[live] - 1 - j].astype(np.int64) << 32) | place[live]
+        own = ((flat[stop[live] - 1 - j].astype(np.int64) << 24) | place[live]).astype(np.uint32)
         order = np.argsort(own)
         live, own = live[order], own[order]
         m, old = len(live), len(key)
-        new = np.searchsorted(key, own) + np.arange(m)
+        new = n + np.searchsorted(key[n:], own) + np.arange(m)
         kept = np.ones(old + m, bool)
         kept[new] = False
         shift = np.flatnonzero(kept)  # where the old suffixes go
-        merged, shared = np.empty(old + m, np.int64), np.zeros(old + m, np.uint8)
-        merged[new], merged[shift] = own, key
-        shared[shift] = common
+        merged, shared = np.empty(old + m, np.uint32), np.zeros(old + m, np.uint8)
+        merged[new], merged[kept] = own, key
+        shared[kept] = common
         # only a new suffix and the one after it have a new neighbour
         check = np.unique(np.concatenate((new, new[new + 1 < old + m] + 1)))
         left, right = merged[check - 1], merged[check]
-        same = (left >> 32 == right >> 32) & (check > n)
+        same = (left >> 24 == right >> 24) & (check > n)
         shared[check[~same]] = 0
         check = check[same]
         if len(check):
-            lo, hi = (left[same] & _RANK) + 1, (right[same] & _RANK) + 1
+            lo, hi = (left[same] & _RANK).astype(np.int64) + 1, (right[same] & _RANK).astype(np.int64) + 1
             by = np.argsort(lo, kind="stable")
             pairs = np.empty(2 * len(check), np.int64)
             pairs[::2], pairs[1::2] = lo[by], hi[by]
@@ -203,11 +213,11 @@ def column_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             shared[check[by]] = np.minimum(least, LENGTH - 1) + 1
         # tails were ranks before this round
         filled = merged[n:]
-        merged[n:] = (filled & ~_RANK) | shift[filled & _RANK]
+        merged[n:] = (filled & ~_RANK) | shift.astype(np.uint32)[filled & _RANK]
         key, common = merged, shared
         place = shift[place]
         place[live] = new
-    return key & _RANK, common, place
+    return (key & _RANK).astype(np.int64), common, place
 
 
 def repeated_windows(strings: list[bytes], many: np.ndarray) -> list[tuple[int, int, int]]:
