@@ -9,6 +9,7 @@ others compose operators and have an independent SQL counterpart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from gridloom.operators.components import connected_components
 from gridloom.operators.network import repair_networks
 from gridloom.operators.planar import COORDINATES, overlapping_boxes, planarise
 from gridloom.operators.rangejoin import dbscan_one, nearest, range_join
+from gridloom.runtime import numbered
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,7 +132,15 @@ def reachability(spark, sf_dir):
 
 
 statement("graph_health", "SELECT least(l_partkey % 50, l_suppkey % 50) AS a, greatest(l_partkey % 50, l_suppkey % 50) AS b, count(*) AS n, sum(CASE WHEN l_partkey % 50 = l_suppkey % 50 THEN 1 ELSE 0 END) AS loops FROM $lineitem GROUP BY 1, 2 HAVING count(*) > 1")
-statement("attachment_count", "SELECT s.s_suppkey, count(DISTINCT p.p_partkey) AS attached, greatest(0, 4 - count(DISTINCT p.p_partkey)) AS capacity FROM $supplier s LEFT JOIN $part p ON p.p_partkey % 97 = s.s_suppkey OR (p.p_partkey * 3) % 97 = s.s_suppkey GROUP BY s.s_suppkey")
+
+
+@query("SELECT s.s_suppkey, count(DISTINCT p.p_partkey) AS attached, greatest(0, 4 - count(DISTINCT p.p_partkey)) AS capacity FROM supplier s LEFT JOIN part p ON p.p_partkey % 97 = s.s_suppkey OR (p.p_partkey * 3) % 97 = s.s_suppkey GROUP BY s.s_suppkey")
+def attachment_count(spark, sf_dir):
+    """Pipes at either end of a chamber, each once: the ends are rows of their own, so the join is an equality."""
+    k = F.col("p_partkey")
+    ends = table(spark, sf_dir, "part").select(k.alias("pipe"), F.explode(F.array_distinct(F.array(k % 97, k * 3 % 97))).alias("s_suppkey"))
+    n = table(spark, sf_dir, "supplier").select("s_suppkey").join(ends, "s_suppkey", "left").groupBy("s_suppkey").agg(F.count("pipe").alias("attached"))
+    return n.select("s_suppkey", "attached", F.greatest(F.lit(0), 4 - F.col("attached")).alias("capacity"))
 
 
 @query(f"SELECT source, target, d, place FROM (SELECT a.id AS source, b.id AS target, round({DIST}, 6) AS d, row_number() OVER (PARTITION BY a.id ORDER BY {DIST}, b.id) AS place FROM {_pts('customer', 'c_custkey')} a JOIN {_pts('supplier', 's_suppkey')} b ON {DIST} <= 100) t WHERE place <= 20")
@@ -151,7 +161,8 @@ def range_self_join(spark, sf_dir):
 # --- visibility -----------------------------------------------------------------
 SEGMENTS = f"(SELECT a.id AS a, b.id AS b, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM {_pts('supplier', 's_suppkey')} a JOIN {_pts('supplier', 's_suppkey')} b ON a.id < b.id AND {DIST} <= 150)"
 NEAR_BOX = """sqrt((px - (x1 + t * (x2 - x1))) * (px - (x1 + t * (x2 - x1))) + (py - (y1 + t * (y2 - y1))) * (py - (y1 + t * (y2 - y1))))"""
-BLOCKS = f"(SELECT p_partkey AS zone, CAST({px('p_partkey')} AS DOUBLE) AS px, CAST({py('p_partkey')} AS DOUBLE) AS py, p_partkey % 3 AS kind FROM part)"
+#: A zone lies beside the supplier of its number, so some ends are in reach of their own zone and others are not.
+BLOCKS = f"(SELECT p_partkey AS zone, CAST({px('p_partkey')} AS DOUBLE) + p_partkey % 3 * 2 AS px, CAST({py('p_partkey')} AS DOUBLE) + p_partkey % 3 * 2 AS py, p_partkey % 3 AS kind FROM part)"
 HITS = f"(SELECT s.*, z.*, least(greatest(((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 0), 1) AS t FROM {SEGMENTS} s CROSS JOIN {BLOCKS} z)"
 
 
@@ -164,7 +175,7 @@ def _segments(spark, sf_dir):
 def _zone_hits(spark, sf_dir, radius: float) -> DataFrame:
     """Segments with the zones whose centre lies within ``radius``: cells of the segment's box meet the zone's cell."""
     size = 50.0
-    zones = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("zone"), F.expr(f"CAST({px('p_partkey')} AS DOUBLE)").alias("px"), F.expr(f"CAST({py('p_partkey')} AS DOUBLE)").alias("py"), (F.col("p_partkey") % 3).alias("kind"))
+    zones = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("zone"), F.expr(f"CAST({px('p_partkey')} AS DOUBLE) + p_partkey % 3 * 2").alias("px"), F.expr(f"CAST({py('p_partkey')} AS DOUBLE) + p_partkey % 3 * 2").alias("py"), (F.col("p_partkey") % 3).alias("kind"))
     zones = zones.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
     cells = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / size), F.floor((F.greatest(a, b) + radius) / size))
     s = _segments(spark, sf_dir).withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
@@ -269,7 +280,16 @@ SELECT line, round(sum(CASE WHEN angle > 90 THEN (angle - 90) * 50 ELSE 0 END),
 
 # --- tie-ins and variants ---------------------------------------------------------
 statement("shared_target", "SELECT part, n, cost FROM (SELECT l_partkey % 40 AS part, count(DISTINCT o_custkey) AS n, round(sum(l_extendedprice), 2) AS cost, row_number() OVER (ORDER BY count(DISTINCT o_custkey) DESC, round(sum(l_extendedprice), 2), l_partkey % 40) AS place FROM $lineitem JOIN $orders ON o_orderkey = l_orderkey GROUP BY l_partkey % 40) t WHERE place = 1")
-statement("sub_split_halves", f"SELECT s_suppkey, CASE WHEN row_number() OVER (ORDER BY {px('s_suppkey')}, s_suppkey) > floor((SELECT count(*) FROM $supplier) / 2) THEN 2 ELSE 1 END AS half FROM $supplier")
+
+
+@query(f"SELECT s_suppkey, CASE WHEN row_number() OVER (ORDER BY {px('s_suppkey')}, s_suppkey) > floor((SELECT count(*) FROM supplier) / 2) THEN 2 ELSE 1 END AS half FROM supplier")
+def sub_split_halves(spark, sf_dir):
+    """Two halves by x: places come from sorted ranges and their sizes, so no task sees all rows."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(f"CAST({px('s_suppkey')} AS DOUBLE)").alias("x"))
+    placed, n = numbered(s, "x", "s_suppkey")
+    return placed.select("s_suppkey", F.when(F.col("place") > n // 2, 2).otherwise(1).alias("half"))
+
+
 statement("capacity_groups", f"SELECT s_suppkey, min(s_suppkey) OVER (PARTITION BY CAST(floor({px('s_suppkey')} / 100) AS INT), CAST(floor({py('s_suppkey')} / 100) AS INT)) AS grp, greatest(0, 4 - count(*) OVER (PARTITION BY CAST(floor({px('s_suppkey')} / 100) AS INT), CAST(floor({py('s_suppkey')} / 100) AS INT))) AS capacity FROM $supplier")
 statement("unconnected_penalty", f"SELECT count(*) AS n, round(sum({R.PENALTY_FIXED} + {R.PENALTY_FLOW} * abs(c_acctbal)), 0) AS penalty FROM $customer c WHERE NOT EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey)")
 SCORE = f"{R.COST_SHARE} * cost / {R.COST_UNIT} + {R.LENGTH_SHARE} * length / {R.LENGTH_UNIT}"
@@ -297,7 +317,7 @@ def _variants(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """A network a nation: customers are consumers, suppliers tie-ins; each customer runs pipes to its two nearest nodes of the nation."""
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     nodes = points(c, "c_custkey").join(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("variant"), (F.abs("c_acctbal") / 100).alias("flow")), "id").withColumn("kind", F.lit("oks"))
-    ties = points(s, "s_suppkey").join(s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("variant")), "id").select((-F.col("id")).alias("id"), "x", "y", "variant", F.lit(0.0).alias("flow"), F.lit("existing_tie_in").alias("kind"))
+    ties = points(s, "s_suppkey").join(s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("variant")), "id").select((-1 - F.col("id")).alias("id"), "x", "y", "variant", F.lit(0.0).alias("flow"), F.lit("existing_tie_in").alias("kind"))
     nodes = nodes.unionByName(ties)
     near = range_join(nodes.where("kind = 'oks'").select("variant", F.col("id").alias("a"), "x", "y", "flow"), nodes.select("variant", F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2")), 400.0, by=("variant",)).where("a <> b")
     place = Window.partitionBy("variant", "a").orderBy("d", "b")
@@ -310,24 +330,41 @@ def network_repair(spark, sf_dir):
     """The repaired, sized and priced network of each nation, totals by variant."""
     out = repair_networks(*_variants(spark, sf_dir))
     segment, node = F.col("what") == "segment", F.col("what") == "node"
-    return out.groupBy("variant").agg(F.count_if(node).alias("nodes"), F.count_if(segment).alias("segments"), F.round(F.sum(F.when(segment, F.col("length"))), 2).alias("length_m"), F.round(F.sum("cost"), 0).alias("cost"), F.max("degree").alias("degree"), F.max("diameter").alias("diameter"))
+    return out.groupBy("variant").agg(F.count_if(node).alias("nodes"), F.count_if(segment).alias("segments"), F.round(F.sum(F.when(segment, F.col("length"))), 2).alias("length_m"), F.round(F.sum("cost"), 0).alias("cost"), F.max("degree").alias("degree"), F.max("diameter").alias("diameter"), F.max("left_crossings").alias("left_crossings"), F.max("left_long").alias("left_long"))
+
+
+_JOINED = f"SELECT 1 AS k, c_custkey AS id, c_nationkey AS n, CAST({px('c_custkey')} AS DOUBLE) AS x, CAST({py('c_custkey')} AS DOUBLE) AS y FROM customer UNION ALL SELECT 2, s_suppkey, s_nationkey, CAST({px('s_suppkey')} AS DOUBLE), CAST({py('s_suppkey')} AS DOUBLE) FROM supplier"
 
 
-@query("SELECT CAST(0 AS BIGINT) AS crossings, CAST(0 AS BIGINT) AS overloaded, CAST(0 AS BIGINT) AS unsized")
+@query(f"WITH p AS ({_JOINED}) SELECT CAST(0 AS BIGINT) AS crossings, CAST(0 AS BIGINT) AS overloaded, CAST(0 AS BIGINT) AS unsized, count(*) AS consumers FROM p a WHERE a.k = 1 AND EXISTS (SELECT 1 FROM p b WHERE b.n = a.n AND (b.id <> a.id OR b.k <> a.k) AND {DIST} <= 400)")
 def network_invariants(spark, sf_dir):
-    """Faults that are left after the repair: pipes that cross inside each other, nodes of degree above 4, pipes without a diameter."""
+    """Faults that are left after the repair: pipes that cross inside each other, nodes of degree above 4, pipes without a diameter; and how many consumers are still joined."""
     out = repair_networks(*_variants(spark, sf_dir))
     bends = out.where("what = 'segment'").select("variant", "id", F.col("line").alias("p"), F.posexplode(F.slice("line", 1, F.size("line") - 1)).alias("i", "s")).withColumn("e", F.element_at("p", F.col("i") + 2))
     # variants are laid side by side, so that only pipes of one variant can meet
     side = F.col("variant") * 1e5
     lines = bends.select(F.struct("variant", "id", "i").alias("id"), (F.col("s.x") + side).alias("x1"), F.col("s.y").alias("y1"), (F.col("e.x") + side).alias("x2"), F.col("e.y").alias("y2"))
     crossing = overlapping_boxes(lines, 100.0).where(G.segments_cross(tuple(F.col(c) for c in COORDINATES), tuple(F.col(f"o_{c}") for c in COORDINATES)))
-    faults = [crossing.select(F.lit("crossings").alias("what")), out.where("degree > 4").select(F.lit("overloaded")), out.where("what = 'segment' and coalesce(diameter, 0) = 0").select(F.lit("unsized"))]
-    return faults[0].union(faults[1]).union(faults[2]).agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("crossings", "overloaded", "unsized")])
+    rows = [crossing.select(F.lit("crossings").alias("what")), out.where("degree > 4").select(F.lit("overloaded")), out.where("what = 'segment' and coalesce(diameter, 0) = 0").select(F.lit("unsized")), out.where("kind = 'oks' and degree > 0").select(F.lit("consumers"))]
+    return reduce(DataFrame.union, rows).agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("crossings", "overloaded", "unsized", "consumers")])
 
 
 statement("orphan_cleanup", "SELECT c_custkey FROM $customer c WHERE EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey) AND NOT EXISTS (SELECT 1 FROM $orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
-statement("diameter_lookup", f"SELECT l_orderkey, l_linenumber, coalesce(min(CASE WHEN capacity >= l_quantity * 10 THEN diameter END), 1400) AS diameter FROM $lineitem CROSS JOIN {VALUES_D} GROUP BY l_orderkey, l_linenumber")
+
+
+def pipe_diameter(flow):
+    """The smallest diameter that carries a flow, the largest beyond."""
+    pick = F.lit(R.DIAMETERS[-1][0])
+    for d, capacity, *_ in reversed(R.DIAMETERS):
+        pick = F.when(flow <= capacity, d).otherwise(pick)
+    return pick
+
+
+@query(f"SELECT l_orderkey, l_linenumber, coalesce(min(CASE WHEN capacity >= l_quantity * 10 THEN diameter END), 1400) AS diameter FROM lineitem CROSS JOIN {VALUES_D} GROUP BY l_orderkey, l_linenumber")
+def diameter_lookup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(pipe_diameter(F.col("l_quantity") * 10)).alias("diameter"))
+
+
 statement("length_runs", """WITH d AS (SELECT l_orderkey AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_suppkey % 3 AS diameter, l_quantity AS length FROM $lineitem),
 g AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) - row_number() OVER (PARTITION BY path, diameter ORDER BY i) AS island FROM d)
 SELECT path, diameter, min(i) AS first, sum(length) AS total, CASE WHEN sum(length) > 60 THEN 1 ELSE 0 END AS bump FROM g GROUP BY path, diameter, island""")
@@ -349,9 +386,6 @@ def cheapest_tie_in(spark, sf_dir):
     b = points(table(spark, sf_dir, "supplier"), "s_suppkey", "x2", "y2", "target")
     near = nearest(a, b, "source", "target", within=R.TIE_IN_RADIUS).withColumnRenamed("d", "length")
     flow = near.join(c.select(F.col("c_custkey").alias("source"), (F.abs("c_acctbal") / 100).alias("flow")), "source")
-    pick = F.lit(None).cast("int")
-    for d, capacity, *_ in reversed(R.DIAMETERS):
-        pick = F.when(F.col("flow") <= capacity, d).otherwise(pick)
-    flow = flow.withColumn("diameter", F.coalesce(pick, F.lit(R.DIAMETERS[-1][0])))
+    flow = flow.withColumn("diameter", F.when(F.col("flow").isNotNull(), pipe_diameter(F.col("flow"))).otherwise(R.DIAMETERS[-1][0]))
     flow = flow.withColumn("cost", F.col("length") * F.expr(PRICE("diameter")))
     return flow.select("source", "target", "diameter", F.round("length", 3).alias("length_m"), F.round("cost", 2).alias("cost"), F.expr(f"round({SCORE}, 6)").alias("score"))

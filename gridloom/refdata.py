@@ -19,6 +19,7 @@ RESTRICTIONS = {
     "road": (False, True, 1.5, 45.0, 1.60), "tram_tracks": (False, True, 1.5, 45.0, 1.75), "gas_pipeline": (False, True, 2.0, None, 1.25), "power_cable": (False, True, 2.0, None, 1.15), "heat_network": (False, True, 1.0, None, 1.05),
     "water": (True, False, 1.0, None, None), "park": (True, False, 1.0, None, None), "social_area": (True, False, 1.0, None, None), "prohibited_site": (True, False, 1.0, None, None), "railway": (True, False, 1.0, None, None), "oks": (True, False, None, None, None),
 }
+#: Fixed values. Types of features; shares and units of the score; penalties of an unconnected consumer; radius of clusters and tie-ins, most candidates and attachments.
 OBJECT_TYPES = ("source", "heat_network", "heat_chamber", "oks_connection_point", "restriction")
 COST_SHARE, COST_UNIT, LENGTH_SHARE, LENGTH_UNIT = 0.7, 25e6, 0.3, 100.0
 PENALTY_FIXED, PENALTY_FLOW = 1e8, 5e5
@@ -31,5 +32,5 @@ def case_up_to(value: str, steps, beyond) -> str:
 
 
 def oks_distance(diameter: int) -> float:
-    """Distance to buildings by pipe diameter."""
+    """Fixed values. Distance to buildings by pipe diameter."""
     return 5.0 if diameter < 500 else 7.0 if diameter <= 800 else 9.0

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -58,6 +59,38 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, path: str, column: str) -> DataFrame:
+    """``df`` written in buckets of a column, as many as shuffles have partitions, and read back: joins on it don't shuffle it."""
+    spark = df.sparkSession
+    name = f"gridloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).option("path", path).format("parquet").saveAsTable(name)
+    try:
+        return spark.table(name).select("*")
+    finally:
+        spark.sql(f"drop table {name}")  # only its name: the files are outside the warehouse
+
+
+def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """``df`` with ``place``, from 1 in the given order, and its number of rows; no task sorts all rows.
+
+    Rows are dealt into sorted ranges and written; a row's place is that in its
+    range after the sizes of the ranges before, which are a row a partition.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), scratch_dir(spark))
+    sizes = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}
+    before, n = [], 0
+    for k in sorted(sizes):
+        before.append((k, n))
+        n += sizes[k]
+    start = spark.createDataFrame(before, "_range int, _before long")
+    rows = rows.join(F.broadcast(start), "_range")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return rows.withColumn("place", place).drop("_range", "_before"), n
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder through the file system that holds it."""
     jvm = spark.sparkContext._jvm

@@ -199,28 +199,23 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets name the greatest (time, path) seen, so a file is read once and old files are not kept in the log."""
+    """An offset names the files seen, by time and path, so each is read once, even one that arrives with an old time."""
 
     def __init__(self, path: str):
         self.path = path
 
-    def _files(self) -> list[tuple[int, str]]:
-        out = []
-        for p in list_files(self.path):
-            system, inner = _filesystem(p)
-            out.append((system.get_file_info(inner).mtime_ns or 0, p))
-        return sorted(out)
-
     def initialOffset(self):
-        return {"time": -1, "path": ""}
+        return {"seen": []}
 
     def latestOffset(self):
-        files = self._files()
-        return {"time": files[-1][0], "path": files[-1][1]} if files else self.initialOffset()
+        seen = []
+        for p in list_files(self.path):
+            system, inner = _filesystem(p)
+            seen.append(f"{system.get_file_info(inner).mtime_ns or 0}:{p}")
+        return {"seen": sorted(seen)}
 
     def partitions(self, start, end):
-        low, high = (start["time"], start["path"]), (end["time"], end["path"])
-        return [_File(p) for t, p in self._files() if low < (t, p) <= high]
+        return [_File(f.split(":", 1)[1]) for f in sorted(set(end["seen"]) - set(start["seen"]))]
 
     def read(self, partition):
         return _rows(partition.path)

@@ -2,11 +2,13 @@
 
 import io
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.sources import geojson
+from gridloom.streaming import feature_stream, running_report
 
 GEOMETRIES = [
     {"type": "Point", "coordinates": [37.5, 55.5]},
@@ -90,3 +92,19 @@ def test_stream_reads_new_files_once(spark, tmp_path):
     (tmp_path / "in" / "b.geojson").write_text(collection([feature(2, None), feature(3, None)]))
     assert run() == ["1", "2", "3"]
     assert run() == ["1", "2", "3"]
+    (tmp_path / "in" / "late.geojson").write_text(collection([feature(4, None)]))
+    os.utime(tmp_path / "in" / "late.geojson", (1_000_000, 1_000_000))  # older than all that was read
+    assert run() == ["1", "2", "3", "4"]
+
+
+def test_running_report(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.geojson").write_text(collection([feature(1, None), feature(None, None)]))
+    q = running_report(feature_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("report").start()
+    try:
+        q.processAllAvailable()
+        (tmp_path / "in" / "b.geojson").write_text(collection([feature(2, None)]))
+        q.processAllAvailable()
+        assert {r.code: r.n for r in spark.table("report").collect()} == {"total": 3, "missing_id": 1, "restriction_without_type": 3}
+    finally:
+        q.stop()
