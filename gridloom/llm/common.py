@@ -71,3 +71,21 @@ def pack_ints(a: np.ndarray) -> bytes:
 
 def unpack_ints(b: bytes) -> np.ndarray:
     return unpack(b[1:], np.uint32 if b[0] == 4 else np.uint64).astype(np.int64)
+
+
+def private(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under column names of its own, and these by the old ones: nothing that an operator adds can clash with them."""
+    names = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def public(df: DataFrame, names: dict[str, str], made: list[str]) -> DataFrame:
+    """The old columns under their old names, then the results; a result whose name is taken gets underscores until it is free."""
+    taken, out = set(names), []
+    for m in made:
+        free = m
+        while free in taken:
+            free += "_"
+        taken.add(free)
+        out.append(F.col(f"`{m}`").alias(free))
+    return df.select(*[F.col(n).alias(c) for c, n in names.items()], *out)

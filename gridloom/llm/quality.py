@@ -2,16 +2,16 @@
 
 Every document gets a vector of transformed statistics.  For each (language,
 source) a minimum-covariance-determinant estimate of centre and scatter is
-found by concentration steps: from a start at coordinatewise medians and MADs,
-the h documents nearest in Mahalanobis distance give the next mean and
-covariance, which never has a larger determinant.  Documents far from the final
-estimate are rejected.  Only DataFrame expressions are used: quantiles come from
+found by concentration steps from several starts: the h documents nearest in
+Mahalanobis distance give the next mean and covariance, until no determinant
+falls; the smallest one is kept.  Documents far from that estimate are rejected.  Only DataFrame expressions are used: quantiles come from
 counts over fixed bins, so a hot source is aggregated before any shuffle, and
 the linear algebra of a group is a handful of column expressions.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 
 from gridloom.runtime import scratch_dir, written
 
+from .common import private, public
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 #: Statistics of the vector; smallest standard deviations that count (they keep the scatter regular).
 NAMES = ("word_length", "symbols", "dup_lines", "repeats")
 FLOOR = (0.35, 0.12, 0.08, 0.05)
-#: Share of a group that the estimate rests on, concentration steps, least group, chance of rejecting a Gaussian document.
-SUBSET, STEPS, LEAST_GROUP, ALPHA = 0.75, 4, 40, 1e-5
+#: Share of a group that the estimate rests on, least group, chance of rejecting a Gaussian document.
+SUBSET, LEAST_GROUP, ALPHA = 0.75, 40, 1e-5
+#: Fall of a determinant's logarithm below which a start has converged; most rows of parameters that are broadcast.
+LEAST_FALL, MOST_PARAMS = 1e-6, 50_000
 #: Group of the documents that have no large enough group in their language; other names have a separator.
 REST = "*"
 #: Bins a unit of a statistic, and a factor 2 of a distance.
@@ -108,8 +112,13 @@ def _binned_quantile(df: DataFrame, q: float, columns: list[str], bins: int = BI
     counts = long.groupBy("group", "j", "bin").count()
     w = Window.partitionBy("group", "j")
     run = counts.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("all", F.sum("count").over(w))
-    cut = run.where(F.col("upto") >= F.ceil(q * F.col("all"))).groupBy("group").agg(*[F.min(F.when(F.col("j") == j, F.col("bin"))).alias(f"q{j}") for j in range(p)])
-    return cut
+    return run.where(F.col("upto") >= F.ceil(q * F.col("all"))).groupBy("group").agg(*[F.min(F.when(F.col("j") == j, F.col("bin"))).alias(f"q{j}") for j in range(p)])
+
+
+def _beside(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``rows`` with the written ``params`` of their group, which are broadcast if they are few."""
+    few = params.limit(MOST_PARAMS + 1).count() <= MOST_PARAMS
+    return rows.join(F.broadcast(params) if few else params, "group")
 
 
 def _distance(p: int) -> Column:
@@ -138,13 +147,13 @@ def _with_factor(params: DataFrame, p: int) -> DataFrame:
 
 
 def _moments(df: DataFrame, p: int) -> DataFrame:
-    """Mean and covariance per group; the covariance is made consistent and raised to the floor."""
-    sums = df.groupBy("group").agg(
-        F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)],
-        *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)],
-    )
+    """Mean and Cholesky factor per group and start, with the logarithm of the determinant; the covariance is made consistent and raised to the floor."""
+    sums = df.groupBy("group", "start").agg(
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"e{i}{j}") for i in range(p) for j in range(i + 1)]
+    )
     cov = [((F.col(f"e{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (FLOOR[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    return _with_factor(sums.select("group", *[f"m{i}" for i in range(p)], *cov), p)
+    out = _with_factor(sums.select("group", "start", *[f"m{i}" for i in range(p)], *cov), p)
+    return out.withColumn("size", sum((2 * F.log(f"l{i}{i}") for i in range(p)), F.lit(0.0)))
 
 
 def _bin_of_distance() -> Column:
@@ -152,25 +161,41 @@ def _bin_of_distance() -> Column:
 
 
 def robust_estimates(vectors: DataFrame, path: str) -> DataFrame:
-    """Minimum-covariance-determinant mean and factor per group from (group, x0, ...)."""
+    """Minimum-covariance-determinant mean and factor per group from (group, x0, ...), with ``size``, the determinant's logarithm.
+
+    Starts: medians with MADs; mean and covariance of all; medians with a round
+    scatter.  Each start steps on until no determinant falls any more; of all
+    estimates on the way that of the smallest determinant is the group's.
+    """
     p = len(NAMES)
-    spark = vectors.sparkSession
-    xs = [f"x{i}" for i in range(p)]
+    xs, ms = [f"x{i}" for i in range(p)], [f"m{i}" for i in range(p)]
+    ls = [f"l{i}{j}" for i in range(p) for j in range(i + 1)]
     med = written(_binned_quantile(vectors, 0.5, xs).select("group", *[((F.col(f"q{i}") + 0.5) / BINS).alias(f"m{i}") for i in range(p)]), f"{path}/median")
-    off = vectors.join(med, "group").select("group", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(p)])
+    off = _beside(vectors, med).select("group", *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(p)])
     mad = _binned_quantile(off, 0.5, xs)
-    zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(p) for j in range(i)]
-    scale = [F.sqrt((1.4826 * (F.col(f"q{i}") + 0.5) / BINS) ** 2 + FLOOR[i] ** 2).alias(f"l{i}{i}") for i in range(p)]
-    params = written(med.join(mad, "group").select("group", *[f"m{i}" for i in range(p)], *scale, *zero), f"{path}/start")
-    for step in range(STEPS):
-        far = vectors.join(params, "group").withColumn("d2", _distance(p)).select("group", *xs, _bin_of_distance().alias("bin"))
-        counts = far.groupBy("group", "bin").count()
-        w = Window.partitionBy("group")
-        run = counts.withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("all", F.sum("count").over(w))
-        cut = run.where(F.col("upto") >= F.ceil(SUBSET * F.col("all"))).groupBy("group").agg(F.min("bin").alias("cut"))
-        near = far.join(cut, "group").where(F.col("bin") <= F.col("cut"))
+    plain = lambda diagonal: [(diagonal(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]
+    one = med.join(mad, "group").select("group", F.lit(0).alias("start"), *ms, *plain(lambda i: F.sqrt((1.4826 * (F.col(f"q{i}") + 0.5) / BINS) ** 2 + FLOOR[i] ** 2)))
+    two = _moments(vectors.withColumn("start", F.lit(1)), p).drop("size")
+    three = med.select("group", F.lit(2).alias("start"), *ms, *plain(lambda i: F.lit(1.0)))
+    params = written(one.unionByName(two).unionByName(three), f"{path}/start")
+    best = None
+    for step in itertools.count():
+        far = _beside(vectors, params).withColumn("d2", _distance(p)).select("group", "start", *xs, _bin_of_distance().alias("bin"))
+        w = Window.partitionBy("group", "start")
+        run = far.groupBy("group", "start", "bin").count().withColumn("upto", F.sum("count").over(w.orderBy("bin"))).withColumn("all", F.sum("count").over(w))
+        cut = run.where(F.col("upto") >= F.ceil(SUBSET * F.col("all"))).groupBy("group", "start").agg(F.min("bin").alias("cut"))
+        held = written(params.select("group", "start", *ms, *ls).join(cut, ["group", "start"]), f"{path}/cut{step}")
+        near = _beside(vectors, held).withColumn("d2", _distance(p)).where(_bin_of_distance() <= F.col("cut")).select("group", "start", *xs)
         params = written(_moments(near, p), f"{path}/step{step}")
-    return spark.read.schema(params.schema).parquet(f"{path}/step{STEPS - 1}")
+        if best is None:
+            best = params.withColumn("fell", F.lit(True))
+        else:
+            last = best.select("group", "start", *[F.col(c).alias(f"o_{c}") for c in (*ms, *ls, "size")])
+            fell = F.col("size") < F.col("o_size") - LEAST_FALL
+            best = params.join(last, ["group", "start"]).select("group", "start", *[F.when(fell, F.col(c)).otherwise(F.col(f"o_{c}")).alias(c) for c in (*ms, *ls, "size")], fell.alias("fell"))
+        best = written(best, f"{path}/best{step}")
+        if best.where("fell").isEmpty():
+            return best.groupBy("group").agg(F.min(F.struct("size", "start", *ms, *ls)).alias("s")).select("group", "s.*").drop("start")
 
 
 def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_group: int = LEAST_GROUP, cutoff: float = CUTOFF) -> DataFrame:
@@ -179,16 +204,16 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     Documents that fail a base rule are not kept and do not enter an estimate.  A
     (language, source) with fewer than ``least_group`` others is pooled with the
     small ones of its language, a pool still smaller with those of all languages;
-    if these are too few as well, they are judged by the estimate of all documents.
-    Only where all documents are too few is none judged.  Null language
-    or source is a value like any other; null and empty texts have no words and
-    fail; repeated rows each count; an empty table gives no rows; extra columns
-    come through, and names that clash with the results are refused.
+    if these are too few as well, they are judged by the estimate of all documents,
+    however few these are.  Null language or source is a value like any other; null
+    and empty texts have no words and fail; repeated rows each count; an empty
+    table gives no rows; extra columns come through, and a result whose name one of
+    them has gets an underscore.
     """
     spark = docs.sparkSession
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "distance", "kept"]
-    if clash := set(made) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} would clash with the results")
+    docs, names = private(docs)
+    text_col, lang_col, source_col = names[text_col], names[lang_col], names[source_col]
     path = scratch_dir(spark)
     p = len(NAMES)
     df = statistics(docs, text_col=text_col).withColumn("base_failed", base_failed())
@@ -202,16 +227,16 @@ def apply_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     size = F.sum("count").over(Window.partitionBy("group"))
     groups = groups.withColumn("size", size).select("_lang", "_source", F.when(F.col("size") >= least_group, F.col("group")).otherwise(REST).alias("group"), "count")
     groups = written(groups, f"{path}/groups")
-    every, rest = groups.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("group") == REST, F.col("count"))), F.lit(0))).first()
+    rest = groups.agg(F.coalesce(F.sum(F.when(F.col("group") == REST, F.col("count"))), F.lit(0))).first()[0]
     groups = groups.drop("count")
     xs = [f"x{i}" for i in range(p)]
-    vectors = good.join(groups, ["_lang", "_source"]).select("group", *xs)
+    few = groups.limit(MOST_PARAMS + 1).count() <= MOST_PARAMS
+    vectors = good.join(F.broadcast(groups) if few else groups, ["_lang", "_source"]).select("group", *xs)
     if 0 < rest < least_group:
-        vectors = vectors.where(F.col("group") != REST)
-        if every >= least_group:
-            vectors = vectors.unionByName(good.select(F.lit(REST).alias("group"), *xs))
+        vectors = vectors.where(F.col("group") != REST).unionByName(good.select(F.lit(REST).alias("group"), *xs))
     params = robust_estimates(vectors, path)
-    judged = groups.join(params, "group").drop("group")
-    out = df.join(judged, ["_lang", "_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(p)))
+    judged = written(groups.join(params, "group").drop("group", "size"), f"{path}/judged")
+    few = judged.limit(MOST_PARAMS + 1).count() <= MOST_PARAMS
+    out = df.join(F.broadcast(judged) if few else judged, ["_lang", "_source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(p)))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > cutoff, F.lit(False)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *made)
+    return public(out, names, made)

@@ -33,7 +33,9 @@ def test_rests_are_judged(spark, languages):
     assert not any(r.base_failed for r in got.values())
 
 
-def test_too_few_in_all(spark):
+def test_few_in_all(spark):
+    """No number of documents is too small to be judged."""
     rng = random.Random(3)
     got = judged(spark, [(i, prose(rng), "en", "web") for i in range(20)] + [(20, junk(rng), None, "web")])
-    assert all(r.distance is None and r.kept for r in got.values())
+    assert all(r.distance is not None and r.kept == (i < 20) for i, r in got.items())
+    assert judged(spark, [(1, prose(rng), None, None)])[1].kept
