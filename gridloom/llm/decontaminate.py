@@ -14,6 +14,7 @@ document is shuffled.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gridloom.runtime import scratch_dir, written
 
-from .common import arrow_map, extra_columns, pieces
+from .common import arrow_map, extra_columns, pieces, private, public
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -220,6 +221,19 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: i
     yield block
 
 
+_WORKER: dict[bytes, SuffixAutomaton] = {}
+
+
+def worker_automaton(key: bytes, items: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
+    """This worker's automaton of a block, kept from task to task; a worker has one at a time."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = SuffixAutomaton(items, window)
+        gc.collect()
+        gc.freeze()  # its states hold no cycles worth another search
+    return _WORKER[key]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep_text: bool = False, least_span: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: id, n_words and n_hit (long), items array<string>
     (sorted ids of items with occurring windows), spans array<struct<start,end>>
@@ -228,13 +242,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     A null text has no words and stays null; null or empty items are no items;
     repeated documents are each judged; an empty benchmark hits nothing; extra
-    columns are ignored without ``keep_text`` and kept with it.
+    columns are ignored without ``keep_text`` and kept with it, and a result whose
+    name a kept column has gets an underscore.
     """
     spark = docs.sparkSession
-    src = docs if keep_text else extra_columns(docs, [id_col, text_col])
-    made = ("n_words", "n_hit", "items", "spans")
-    if clash := set(made) & set(src.columns):
-        raise ValueError(f"columns {sorted(clash)} would clash with the results")
+    src, names = private(docs if keep_text else extra_columns(docs, [id_col, text_col]))
+    text_col, made = names[text_col], ["n_words", "n_hit", "items", "spans"]
     base = list(src.columns)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     kinds = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
@@ -244,10 +257,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     block, out, done = next(blocks), src, 0
     while block is not None:
         after = next(blocks, None)
-        shared = spark.sparkContext.broadcast((block, window))
+        key = hashlib.sha256(repr((window, block)).encode()).digest()
+        shared = spark.sparkContext.broadcast((key, block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=not done, cut=keep_text and after is None) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(*shared.value)
+            automaton = worker_automaton(*shared.value)
             for whole in batches:
                 for batch in pieces(whole):
                     column = batch.column(at)
@@ -276,8 +290,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         if after is not None:  # one automaton at a time: chained passes would each keep a worker with its own
             out = written(out, f"{scratch_dir(spark)}/block{done}")
         block, done = after, done + 1
-    return out if keep_text else out.select(id_col, *made)
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+    return public(out, names if keep_text else {id_col: names[id_col]}, made)
