@@ -9,7 +9,6 @@ form of an identifier is judged by those of its parts that are not like words.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import worker_tools
-from .common import arrow_map, extra_columns, pieces, texts
+from .common import arrow_map, extra_columns, pieces, private, public
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -127,16 +126,16 @@ def scan_secrets(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col: st
 
     Null text is empty: no spans.  Repeated rows are each scanned, null ids stay
     null, an empty table gives no rows.  With ``keep_text`` all other columns of
-    ``docs`` come through unchanged; without it they are ignored.
+    ``docs`` come through unchanged, and the result is ``spans_`` if one of them is
+    named spans; without it they are ignored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks_file, pattern))
-    src = docs if keep_text else extra_columns(docs, [id_col, text_col])
-    names = list(src.columns)
+    src, inner = private(docs if keep_text else extra_columns(docs, [id_col, text_col]))
+    names, text = list(src.columns), text_col
+    text_col = inner[text_col]
     at = names.index(text_col)
     kept = [c for c in src.columns if keep_text or c != text_col]
-    if "spans" in kept:
-        raise ValueError("a column named spans would clash with the result")
     schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in kept), "spans array<struct<start:int,end:int,kind:string>>"])
     struct = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
@@ -156,8 +155,4 @@ def scan_secrets(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col: st
                 cols = [pa.array(clean, pa.string()) if i == at else batch.column(i) for i, c in enumerate(names) if c in kept]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(found, struct)], names=[*kept, "spans"])
 
-    return arrow_map(src, run, schema)
-
-
-def digest(spans: list[tuple[int, int, str]]) -> str:
-    return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in spans).encode()).hexdigest()
+    return public(arrow_map(src, run, schema), {c: n for c, n in inner.items() if keep_text or c != text}, ["spans"])
