@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.runtime import scratch_dir, ship, written
+from gridloom.runtime import bucketed, dropped, scratch_dir, ship, written
 
 from .common import arrow_map, extra_columns, pack, pack_ints, unpack, unpack_ints
 
@@ -274,7 +274,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     path = path or scratch_dir(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     src = extra_columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    blocks = written(word_blocks(src, block_tokens), f"{path}/blocks")
+    # by block, so that answers come to the blocks and no token is shuffled
+    blocks = bucketed(word_blocks(src, block_tokens), f"{path}/blocks", "block")
     n_blocks = blocks.count()
     if parts is None:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_blocks * block_tokens / PARTITION_TOKENS))
@@ -314,4 +315,6 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return arrow_map(joined, run, schema)
+    scores = written(arrow_map(joined, run, schema), f"{path}/scores")
+    dropped(spark, f"{path}/blocks")
+    return scores
