@@ -51,3 +51,37 @@ def test_pipeline_against_plain_python(spark, sf, tmp_path):
         assert got.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
     again = corpus_pipeline.run(spark, sf)
     assert {r.doc_id: r for r in again.collect()} == seen[4]
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing names, and an empty table."""
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"item{i}" for i in range(60))
+    rows = [
+        (1, text, "en", "a", 5), (1, other, "en", "a", 5), (1, other + " end", None, None, None), (2, None, "en", "a", None), (2, "", None, "a", 0), (2, "", None, "a", 0),
+        (None, text, "en", "a", 1), (None, " ".join(f"x{i}" for i in range(40)), None, None, 2), (4, text, "en", "a", 5), (4, text, "en", "a", 5), (5, " ".join(f"long{i}" for i in range(60_000)), "en", None, 1),
+        (6, "password = hunter2hunter2 " + " ".join(f"s{i}" for i in range(40)), "en", "a", 1),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("distance", "spans", "kept", "items", "n_words", "component_id", "node", "tokens", "_key", "id"):
+        docs = docs.withColumn(c, F.lit("x"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    key = lambda df: sorted(((r.doc_id, (r.text or "")[:40]) for r in df.collect()), key=repr)
+    outs = {name: stage(spark, docs, sf) for name, stage in corpus_pipeline.STAGES}
+    for name, out in outs.items():
+        if name != "byte-level BPE encoding":
+            assert out.columns == docs.columns, name
+            assert all(r.distance == r.spans == r.kept == r.id == "x" for r in out.collect()), name
+    assert len(outs["quality rules"].collect()) == 9  # the three without words fail
+    # one row of each group: text (least id 1), the pair of other texts under id 1, and all that link with nothing
+    assert key(outs["n-gram Jaccard join"]) == sorted([(1, text[:40]), (1, other[:40]), (2, ""), (2, ""), (2, ""), (None, rows[7][1][:40]), (5, rows[10][1][:40]), (6, rows[11][1][:40])], key=repr)
+    assert key(outs["benchmark decontamination"]) == sorted(((r[0], (r[1] or "")[:40]) for r in rows), key=repr)
+    secret = outs["secret scans"].collect()
+    assert len(secret) == len(rows) and sum(r.text is None for r in secret) == 1 and all("hunter2" not in (r.text or "") for r in secret)
+    encoded = outs["byte-level BPE encoding"].collect()
+    assert len(encoded) == len(rows) and sum(r.n_tokens == 0 for r in encoded) == 3
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
