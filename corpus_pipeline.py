@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, jaccard, quality, secrets
-from gridloom.llm.common import read_file, table
+from gridloom.llm.common import private, public, read_file, table
 from gridloom.runtime import scratch_dir, written
 
 #: Hit words from which a span is cut out, and the share of hit words from which a document goes.
@@ -16,37 +16,65 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
-    return quality.apply_rules(docs).where("kept").select(*docs.columns)
+    """Drops documents that the quality rules reject, null and empty texts among them.
+
+    Repeated rows are judged alike; a null language or source is a value like any
+    other; an empty table stays empty; other columns come through whatever their names.
+    """
+    inner, names = private(docs)
+    out = quality.apply_rules(inner, text_col=names["text"], lang_col=names["lang"], source_col=names["source"])
+    return public(out.where("kept"), names, [])
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each linked group; documents without an id all stay."""
-    groups = jaccard.link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(groups, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Keeps one row of each group of linked documents: that of the smallest id, ids before null, then by the row's hash.
+
+    Rows are told apart by all their values, so rows of one id with different texts
+    are documents of their own; rows equal in all columns are one document.  Texts
+    without words (null, empty or blank) link with nothing: their rows all stay.
+    """
+    inner, names = private(docs)
+    own = [F.col(c) for c in inner.columns]
+    key = F.struct(F.col(names["doc_id"]).isNull().alias("none"), F.col(names["doc_id"]).alias("id"), F.xxhash64(*own).alias("one"), F.xxhash64(F.lit(1), *own).alias("two"))
+    keyed = inner.withColumn("_key", key)
+    out = jaccard.link_components(keyed, id_col="_key", text_col=names["text"])
+    # a row without words is its own component and no other's
+    lead = out.where("n_shingles > 0 and _key = component_id").select("_key").distinct()
+    kept = keyed.join(lead, "_key", "left_semi").dropDuplicates(["_key"])
+    blank = keyed.where(~F.coalesce(F.col(names["text"]), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return public(kept.unionByName(blank), names, [])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out; drops documents that mostly consist of them."""
-    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=True, least_span=LEAST_SPAN)
-    return _counted(out.where(F.col("n_hit") <= MOST_COVERAGE * F.col("n_words")).select(*docs.columns))
+    """Cuts benchmark passages out; drops documents that mostly consist of them.
+
+    A null text stays null and hits nothing; repeated rows are judged alike; an
+    empty table stays empty; other columns come through whatever their names.
+    """
+    inner, names = private(docs)
+    out = decontaminate.decontaminate(inner, table(spark, sf_dir, "benchmark"), id_col=names["doc_id"], text_col=names["text"], keep_text=True, least_span=LEAST_SPAN)
+    return _counted(public(out.where(F.col("n_hit") <= MOST_COVERAGE * F.col("n_words")), names, []))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets by a mark."""
+    """Replaces secrets by a mark; no row goes.  Null texts stay null; other columns come through whatever their names."""
     ranks = read_file(public_tokenizers.path(RANKS))
-    return _counted(secrets.scan_secrets(docs, ranks, public_tokenizers.PATTERN, keep_text=True).select(*docs.columns))
+    inner, names = private(docs)
+    out = secrets.scan_secrets(inner, ranks, public_tokenizers.PATTERN, id_col=names["doc_id"], text_col=names["text"], keep_text=True)
+    return _counted(public(out, names, []))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of ids and decoded bytes."""
+    """Token ids of each row, with the digests of ids and decoded bytes; a null text has none, other columns go."""
     ranks = read_file(public_tokenizers.path(RANKS))
     return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """n_chars brought up to date with the text."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+    """n_chars brought up to date with the text, in its type; that of a null text stays."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
 
 
 STAGES = [
