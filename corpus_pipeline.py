@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, jaccard, quality, secrets
 from gridloom.llm.common import private, public, read_file, table
-from gridloom.runtime import scratch_dir, written
+from gridloom.runtime import dropped, recorded, scratch_dir, written
 
 #: Hit words from which a span is cut out, and the share of hit words from which a document goes.
 LEAST_SPAN, MOST_COVERAGE = 1, 0.5
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+#: Scratch folders of the stage before.
+_LEFT: list[str] = []
+
+
+def _stage(f):
+    """Deletes what the stage before left in scratch, once its result is a table of its own: that is what ``docs`` reads."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _LEFT else []
+        still = [p for p in _LEFT if any(p.rsplit("/", 1)[1] in f for f in files)]
+        for path in set(_LEFT) - set(still):
+            dropped(spark, path)
+        with recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _LEFT[:] = [*still, *made]
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject, null and empty texts among them.
 
@@ -26,6 +50,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return public(out.where("kept"), names, [])
 
 
+@_stage
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of linked documents: that of the smallest id, ids before null, then by the row's hash.
 
@@ -45,6 +70,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return public(kept.unionByName(blank), names, [])
 
 
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts benchmark passages out; drops documents that mostly consist of them.
 
@@ -56,6 +82,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _counted(public(out.where(F.col("n_hit") <= MOST_COVERAGE * F.col("n_words")), names, []))
 
 
+@_stage
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; no row goes.  Null texts stay null; other columns come through whatever their names."""
     ranks = read_file(public_tokenizers.path(RANKS))
@@ -64,6 +91,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _counted(public(out, names, []))
 
 
+@_stage
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row, with the digests of ids and decoded bytes; a null text has none, other columns go."""
     ranks = read_file(public_tokenizers.path(RANKS))
@@ -90,6 +118,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is written and read back."""
     path = scratch_dir(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):

@@ -8,11 +8,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Scratch folders made since `recorded` began, while it runs.
+_MADE: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,7 +54,21 @@ def scratch_dir(spark: SparkSession) -> str:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch folders that are made meanwhile, so that they can be deleted when their results have been written."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE.remove(made)
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
