@@ -456,8 +456,8 @@ def cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
     return pairs.where(F.col("shared") + F.col("open") >= F.col("need")).select("a", "b")
 
 
-def stored_sets(src: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """The written rows of ``set_rows`` and (node, rep): each distinct set with its smallest id.
+def stored_sets(src: DataFrame, path: str) -> tuple[DataFrame, DataFrame, str]:
+    """The written rows of ``set_rows``, (node, rep), each distinct set with its smallest id, and where the rows are.
 
     Should two different sets get one 64-bit node, their proofs differ and all is hashed anew.
     """
@@ -466,7 +466,7 @@ def stored_sets(src: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
         known = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.min("proof").alias("lo"), F.max("proof").alias("hi"))
         known = written(known, f"{path}/nodes{seed}")
         if known.where("lo <> hi").isEmpty():
-            return rows, known.select("node", "rep")
+            return rows, known.select("node", "rep"), f"{path}/sets{seed}"
         dropped(src.sparkSession, f"{path}/sets{seed}")
     raise RuntimeError("no seed tells all sets apart")
 
@@ -484,14 +484,16 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     path = scratch_dir(spark)
     src = extra_columns(docs, [id_col, text_col]).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows, nodes = stored_sets(src, path)
+    rows, nodes, place = stored_sets(src, path)
+    keys = written(rows.where("slice is null").select("id", "n", "node"), f"{path}/keys")
     sets = rows.where("tokens is not null").select("node", "n", "tokens")
-    components = node_components(sets, frequency_classes(rows), path)
+    components = node_components(sets, frequency_classes(rows), f"{path}/graph")
     # the smallest id of a component; nodes without links are their own
     named = nodes.join(components, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = written(named.join(least, "component").select("node", "component_id"), f"{path}/named")
-    keys = rows.where("slice is null").select("id", "n", "node")
+    for done in (place, f"{path}/graph"):  # the largest tables; what follows reads neither
+        dropped(spark, done)
     out = keys.join(named, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
