@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hosts, jaccard, katz, quality, replytrees, secrets, suffixdedup, tokencount
+from . import bpe, decontaminate, hosts, jaccard, katz, oracles, quality, replytrees, secrets, suffixdedup, tokencount
 from .common import read_file, table
 
 
@@ -76,4 +76,4 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_katz_scores, op3_quality_rules, op4_suffix_dedup, op5_byte_bpe, op6_jaccard_join, op7_url_filter, op8_chat_format, op9_secret_scan, op10_token_count)}
-ORACLE_SQL = {"op7_url_filter": hosts.oracle_sql()}
+ORACLE_SQL = {"op1_decontaminate": oracles.DECONTAMINATION, "op4_suffix_dedup": oracles.SUFFIX_DEDUP, "op6_jaccard_join": oracles.JACCARD, "op7_url_filter": hosts.oracle_sql(), "op8_chat_format": oracles.CHATS}
