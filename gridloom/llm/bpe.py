@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import gc
 import hashlib
 import re
 import struct
@@ -28,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, extra_columns, pieces, texts
+from .common import arrow_map, extra_columns, kept, pieces, texts
 
 MAX_STATES = 150_000
 MAX_PIECES = 200_000
@@ -394,19 +393,8 @@ class Splitter:
         return self.exact(text)
 
 
-_WORKER: dict[bytes, tuple[PieceCache, Splitter]] = {}
-
-
 def worker_tools(ranks_file: bytes, pattern: str) -> tuple[PieceCache, Splitter]:
-    """This worker's transducer, kept from task to task."""
-    key = hashlib.sha256(ranks_file + pattern.encode()).digest()
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = PieceCache(Transducer(parse_ranks(ranks_file))), Splitter(pattern)
-        gc.collect()
-        gc.freeze()  # the vocabulary and the states hold no cycles worth another search
-        gc.set_threshold(200_000, 50, 1000)
-    return _WORKER[key]
+    return PieceCache(Transducer(parse_ranks(ranks_file))), Splitter(pattern)
 
 
 def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
@@ -419,17 +407,18 @@ def encode_documents(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks_file, pattern))
+    key = hashlib.sha256(ranks_file + pattern.encode()).digest()
     kinds = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     src = extra_columns(docs, [id_col, text_col])
     schema = f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{o} {kinds[o]}" for o in outputs)
     arrow = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = worker_tools(*shared.value)
-        for whole in batches:
-            for batch in pieces(whole):
-                cols = encoded(texts(batch.column(1)), tools, outputs)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], arrow[o]) for o in outputs)], names=[id_col, *outputs])
+        with kept(("bpe", key), lambda: worker_tools(*shared.value)) as tools:
+            for whole in batches:
+                for batch in pieces(whole):
+                    cols = encoded(texts(batch.column(1)), tools, outputs)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(cols[o], arrow[o]) for o in outputs)], names=[id_col, *outputs])
 
     return arrow_map(src, run, schema)
 

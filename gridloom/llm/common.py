@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -89,3 +93,50 @@ def public(df: DataFrame, names: dict[str, str], made: list[str]) -> DataFrame:
         taken.add(free)
         out.append(F.col(f"`{m}`").alias(free))
     return df.select(*[F.col(n).alias(c) for c, n in names.items()], *out)
+
+
+#: Seconds after its last task for which a worker keeps what it has built.
+IDLE = 5.0
+_KEPT: dict = {}
+_LOCK = threading.Lock()
+_USERS = [0, 0]  # now, and ever
+
+
+@contextmanager
+def kept(key, make: Callable):
+    """What ``make`` gives, built once a worker and kept from task to task; one thing at a time.
+
+    A worker that has had no task for IDLE seconds gives its memory back, as Spark
+    keeps idle workers while other stages need theirs.
+    """
+    with _LOCK:
+        _USERS[0] += 1
+        _USERS[1] += 1
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = make()
+            gc.collect()
+            gc.freeze()  # what is built holds no cycles worth another search
+            gc.set_threshold(200_000, 50, 1000)
+        thing = _KEPT[key]
+    try:
+        yield thing
+    finally:
+        with _LOCK:
+            _USERS[0] -= 1
+            if not _USERS[0]:
+                timer = threading.Timer(IDLE, _given_back, [_USERS[1]])
+                timer.daemon = True
+                timer.start()
+
+
+def _given_back(users: int) -> None:
+    """Forgets what is kept if no task has come since."""
+    with _LOCK:
+        if _USERS != [0, users]:
+            return
+        _KEPT.clear()
+        gc.unfreeze()
+        gc.collect()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

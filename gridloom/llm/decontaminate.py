@@ -14,7 +14,6 @@ document is shuffled.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gridloom.runtime import scratch_dir, written
 
-from .common import arrow_map, extra_columns, pieces, private, public
+from .common import arrow_map, extra_columns, kept, pieces, private, public
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -221,19 +220,6 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: i
     yield block
 
 
-_WORKER: dict[bytes, SuffixAutomaton] = {}
-
-
-def worker_automaton(key: bytes, items: list[tuple[str, bytes]], window: int) -> SuffixAutomaton:
-    """This worker's automaton of a block, kept from task to task; a worker has one at a time."""
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = SuffixAutomaton(items, window)
-        gc.collect()
-        gc.freeze()  # its states hold no cycles worth another search
-    return _WORKER[key]
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep_text: bool = False, least_span: int = 0, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document: id, n_words and n_hit (long), items array<string>
     (sorted ids of items with occurring windows), spans array<struct<start,end>>
@@ -261,30 +247,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         shared = spark.sparkContext.broadcast((key, block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=not done, cut=keep_text and after is None) -> Iterator[pa.RecordBatch]:
-            automaton = worker_automaton(*shared.value)
-            for whole in batches:
-                for batch in pieces(whole):
-                    column = batch.column(at)
-                    texts = [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
-                    n, n_hit, items, spans = [], [], [], []
-                    before = None if first else (batch.column(len(base) + 2).to_pylist(), batch.column(len(base) + 3).to_pylist())
-                    clean = column.to_pylist() if cut else []
-                    for k, (count, hits, found) in enumerate(automaton.search(texts)):
-                        if before:
-                            found |= set(before[0][k])
-                            hits += [(s["start"], s["end"]) for s in before[1][k]]
-                        hits = merged(hits) if hits else hits
-                        n.append(count)
-                        n_hit.append(sum(e - s for s, e in hits))
-                        items.append(sorted(found))
-                        spans.append([{"start": s, "end": e} for s, e in hits])
-                        if cut and (long := [(s, e) for s, e in hits if e - s >= least_span]):
-                            clean[k] = cut_words(texts[k], long).decode()
-                    kept = [pa.array(clean, pa.string()) if cut and i == at else batch.column(i) for i in range(len(base))]
-                    yield pa.RecordBatch.from_arrays(
-                        [*kept, pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)],
-                        names=[*base, *made],
-                    )
+            with kept(("automaton", shared.value[0]), lambda: SuffixAutomaton(*shared.value[1:])) as automaton:
+                for whole in batches:
+                    for batch in pieces(whole):
+                        column = batch.column(at)
+                        texts = [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+                        n, n_hit, items, spans = [], [], [], []
+                        before = None if first else (batch.column(len(base) + 2).to_pylist(), batch.column(len(base) + 3).to_pylist())
+                        clean = column.to_pylist() if cut else []
+                        for k, (count, hits, found) in enumerate(automaton.search(texts)):
+                            if before:
+                                found |= set(before[0][k])
+                                hits += [(s["start"], s["end"]) for s in before[1][k]]
+                            hits = merged(hits) if hits else hits
+                            n.append(count)
+                            n_hit.append(sum(e - s for s, e in hits))
+                            items.append(sorted(found))
+                            spans.append([{"start": s, "end": e} for s, e in hits])
+                            if cut and (long := [(s, e) for s, e in hits if e - s >= least_span]):
+                                clean[k] = cut_words(texts[k], long).decode()
+                        carried = [pa.array(clean, pa.string()) if cut and i == at else batch.column(i) for i in range(len(base))]
+                        yield pa.RecordBatch.from_arrays(
+                            [*carried, pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)],
+                            names=[*base, *made],
+                        )
 
         out = arrow_map(out, run, schema)
         if after is not None:  # one automaton at a time: chained passes would each keep a worker with its own

@@ -9,6 +9,7 @@ form of an identifier is judged by those of its parts that are not like words.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import worker_tools
-from .common import arrow_map, extra_columns, pieces, private, public
+from .common import arrow_map, extra_columns, kept, pieces, private, public
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -131,28 +132,28 @@ def scan_secrets(docs: DataFrame, ranks_file: bytes, pattern: str, *, id_col: st
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((ranks_file, pattern))
+    key = hashlib.sha256(ranks_file + pattern.encode()).digest()
     src, inner = private(docs if keep_text else extra_columns(docs, [id_col, text_col]))
     names, text = list(src.columns), text_col
     text_col = inner[text_col]
     at = names.index(text_col)
-    kept = [c for c in src.columns if keep_text or c != text_col]
-    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in kept), "spans array<struct<start:int,end:int,kind:string>>"])
+    carried = [c for c in src.columns if keep_text or c != text_col]
+    schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carried), "spans array<struct<start:int,end:int,kind:string>>"])
     struct = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, find = worker_tools(*shared.value)
-
-        def count(run: str) -> int:
-            return sum(piece.count(p) for p in find(run))
-
-        for whole in batches:
-            for batch in pieces(whole):
-                found, clean = [], []
-                for text in batch.column(at).to_pylist():
-                    spans = ordered([*base_spans(text), *method_spans(text, count, least_ratio)]) if text else []
-                    found.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
-                    clean.append(redact(text, spans) if spans else text)
-                cols = [pa.array(clean, pa.string()) if i == at else batch.column(i) for i, c in enumerate(names) if c in kept]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(found, struct)], names=[*kept, "spans"])
+        with kept(("bpe", key), lambda: worker_tools(*shared.value)) as (piece, find):
+            def count(run: str) -> int:
+                return sum(piece.count(p) for p in find(run))
+
+            for whole in batches:
+                for batch in pieces(whole):
+                    found, clean = [], []
+                    for text in batch.column(at).to_pylist():
+                        spans = ordered([*base_spans(text), *method_spans(text, count, least_ratio)]) if text else []
+                        found.append([{"start": s, "end": e, "kind": k} for s, e, k in spans])
+                        clean.append(redact(text, spans) if spans else text)
+                    cols = [pa.array(clean, pa.string()) if i == at else batch.column(i) for i, c in enumerate(names) if c in carried]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(found, struct)], names=[*carried, "spans"])
 
     return public(arrow_map(src, run, schema), {c: n for c, n in inner.items() if keep_text or c != text}, ["spans"])
