@@ -40,8 +40,17 @@ def pieces(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
+#: Bytes of an Arrow batch from the JVM; a session that has a value of its own keeps it.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64MB", "64m")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    ship(df.sparkSession)
+    """``mapInArrow`` in small batches: texts of 64 MB at once would stand in the JVM, in its buffers and in the worker."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH_CONF, _BATCH_DEFAULT[0]) in _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 

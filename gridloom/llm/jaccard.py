@@ -46,7 +46,7 @@ MEMBERS = 512
 #: Most node numbers (8 bytes each) and pairs of them (25 bytes a row, two rows at most) that are broadcast to pick sets by; more go through a shuffled join.
 BROADCAST_NODES, BROADCAST_PAIRS = 1_000_000, 200_000
 #: Prefix tokens of a packed row set and of a task that looks for common ones, and the largest bucket that such a task may hold.
-CHUNK_TOKENS, PARTITION_TOKENS, HOT_BUCKET = 1_000_000, 2_000_000, 65_536
+CHUNK_TOKENS, PARTITION_TOKENS, HOT_BUCKET = 300_000, 1_000_000, 65_536
 #: Set hashes that a task remembers to store a repeated set once.
 SEEN = 100_000
 #: Bytes whose words are hashed at once.
