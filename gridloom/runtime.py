@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -109,6 +110,12 @@ def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return rows.withColumn("place", place).drop("_range", "_before"), n
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of stages that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder through the file system that holds it."""
     jvm = spark.sparkContext._jvm
