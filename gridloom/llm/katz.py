@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.runtime import bucketed, dropped, scratch_dir, ship, written
+from gridloom.runtime import bucketed, dropped, scratch_dir, settled, ship, written
 
 from .common import arrow_map, extra_columns, pack, pack_ints, unpack, unpack_ints
 
@@ -394,6 +394,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if parts is None:
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_blocks * block_tokens / PARTITION_TOKENS))
     words = written(count_words(blocks, parts), f"{path}/words")
+    settled(spark)
     add = lambda df, n: df.where("block is null").agg(*[F.sum(F.col("stats")[i]) for i in range(n)]).first()
     s = [x or 0 for x in add(words, MOST_DISCOUNTED + 3)]
     total, types, unigrams = s[0], s[1], Unigrams(s[0], s[2:])
@@ -402,14 +403,17 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     asking = blocks.join(_by_block(word_answers, ["slots", "gids", "counts"], "answers"), "block")
     own = ["block", "held", "sizes", "tokens", "words", "answers"]
     pairs = written(count_grams(asking.select(own), parts, hot, 2), f"{path}/pairs")
+    settled(spark)
     d = discounts([x or 0 for x in add(pairs, MOST_DISCOUNTED + 1)])
     weights = backoff_weights(pairs.where("block is null"), word_answers, parts, unigrams, d)
     weights = written(weights, f"{path}/weights")
+    settled(spark)
     told = _by_block(weights, ["slots", "gids", "counts", "denominator", "weight"], "answers")
     counted = _by_block(pairs.where("block is not null"), ["p", "c"], "pairs")
     joined, d3 = blocks.join(told, "block").join(counted, "block"), None
     if order == 3:
         triples = written(count_grams(joined.select(*own, "pairs"), parts, hot, 3), f"{path}/triples")
+        settled(spark)
         d3 = discounts([x or 0 for x in add(triples, MOST_DISCOUNTED + 1)])
         joined = joined.join(_by_block(triples.where("block is not null"), ["p", "c"], "triples"), "block")
         above = written(triple_weights(triples.where("block is null"), joined.select(*own, "pairs", "triples"), parts, hot, d, d3), f"{path}/above")
@@ -437,5 +441,6 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     schema = f"`{id_col}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     scores = written(arrow_map(joined, run, schema), f"{path}/scores")
-    dropped(spark, f"{path}/blocks")
+    for done in ("blocks", "weights"):
+        dropped(spark, f"{path}/{done}")
     return scores
