@@ -45,10 +45,25 @@ def nearest(left: DataFrame, right: DataFrame, key: str, other: str, *, within:
 
 
 def dbscan_one(points: DataFrame, radius: float, *, key: str = "id") -> DataFrame:
-    """``points`` (key, x, y) with ``cluster``: the smallest key of its eps-connected component (one point is enough)."""
+    """``points`` (key, x, y) with ``cluster``: the smallest key of its eps-connected component (one point is enough).
+
+    All points of a cell whose diagonal is within the radius are one component, so
+    only cells are joined: a pair of cells is an edge once, however many of their
+    points are near each other, and no pairs within a dense cell are listed.
+    Points without coordinates are clusters of their own.
+    """
     from .components import connected_components
 
-    right = points.select(F.col(key).alias("_b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = range_join(points.select(F.col(key).alias("_a"), "x", "y"), right, radius).where("_a < _b").select("_a", "_b")
-    labels = connected_components(pairs, "_a", "_b")
-    return points.join(labels, points[key] == labels["node"], "left").withColumn("cluster", F.coalesce("component", key)).drop("node", "component")
+    size = radius / 1.4143
+    cells = points.select(F.col(key).alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.floor(F.col("x") / size).alias("_cx"), F.floor(F.col("y") / size).alias("_cy"))
+    reps = cells.where("_cx is not null and _cy is not null").groupBy("_cx", "_cy").agg(F.min("_k").alias("_rep"))
+    # one of each two opposite directions, over the cells that a circle can reach
+    ways = [(i, j) for i in (-2, -1, 0, 1, 2) for j in (-2, -1, 0, 1, 2) if (i, j) > (0, 0) and (abs(i), abs(j)) != (2, 2)]
+    own = cells.join(reps, ["_cx", "_cy"])
+    other = own.select(F.col("_rep").alias("_other"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), "_cx", "_cy", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ways])).alias("_w"))
+    other = other.select("_other", "_ox", "_oy", (F.col("_cx") + F.col("_w.i")).alias("_cx"), (F.col("_cy") + F.col("_w.j")).alias("_cy"))
+    dx, dy = F.col("_x") - F.col("_ox"), F.col("_y") - F.col("_oy")
+    edges = own.join(other, ["_cx", "_cy"]).where(F.sqrt(dx * dx + dy * dy) <= radius).select("_rep", "_other").distinct()
+    labels = connected_components(edges, "_rep", "_other")
+    named = own.select("_k", "_rep").join(labels, F.col("_rep") == F.col("node"), "left").select("_k", F.coalesce("component", "_rep").alias("_cluster"))
+    return points.join(named, points[key] == named["_k"], "left").withColumn("cluster", F.coalesce("_cluster", key)).drop("_k", "_cluster")
