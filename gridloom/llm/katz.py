@@ -33,7 +33,7 @@ from gridloom.runtime import bucketed, dropped, scratch_dir, settled, ship, writ
 from .common import arrow_map, extra_columns, pack, pack_ints, unpack, unpack_ints
 
 #: Tokens a block at least, tokens a partition of the tables, and the largest count that is discounted.
-BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 2_400_000, 2_500_000, 5
+BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 1_600_000, 2_500_000, 5
 BEGIN, END = 1, 2  # hashes of the two marks; a word's hash is never below 16
 
 
@@ -161,7 +161,8 @@ class Grams:
 
     def __init__(self, history: np.ndarray, word: np.ndarray, keys: np.ndarray, counts: np.ndarray, gid: np.ndarray, parts: int, hot: float):
         n = len(gid)
-        code, self.first, self.at = np.unique(history * n + word, return_index=True, return_inverse=True)
+        code, at = np.unique(history * n + word, return_inverse=True)
+        self.at = at.astype(np.int32)
         self.h, self.w = code // n, code % n
         self.key, self.word = keys[self.h], gid[self.w]
         home = self.key % parts
@@ -169,6 +170,12 @@ class Grams:
         self.order = np.lexsort((self.word, self.key, part))
         self.edges = np.searchsorted(part[self.order], np.arange(parts + 1))
 
+    def somewhere(self) -> np.ndarray:
+        """For each gram a token at which it ends."""
+        out = np.empty(len(self.h), np.int64)
+        out[self.at] = np.arange(len(self.at))
+        return out
+
     def questions(self, block: str, trained: np.ndarray, low: np.ndarray, den: np.ndarray | None) -> list[tuple]:
         """A row a part: histories, words and training counts, and what the lower level knows of the words after them."""
         out = []
@@ -205,7 +212,7 @@ class Block:
         self.pairs = self._grams(self.word, 0, self.gid, self.count)
 
     def _grams(self, before: np.ndarray, first: int, keys: np.ndarray, counts: np.ndarray) -> Grams:
-        history = np.empty_like(self.word)
+        history = np.empty(len(self.word), np.int64)
         history[1:] = before[:-1]
         history[self.start] = first
         return Grams(history, self.word, keys, counts, self.gid, self.parts, self.hot)
@@ -242,7 +249,7 @@ def count_grams(joined: DataFrame, parts: int, hot: float, level: int) -> DataFr
                 else:
                     seen = b.pairs.read(row["pairs"])
                     g = b.triples(seen)
-                    of = b.pairs.at[g.first]
+                    of = b.pairs.at[g.somewhere()]
                     rows = g.questions(b.name, b.trained(g), seen[of], b.denominator[b.pairs.h[of]].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=_ASKED)
 
@@ -433,7 +440,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 if order == 3:
                     g = b.triples(seen)
                     n, weight = third_level(b, g, row["above"])
-                    prob, at = backed_off(g.read(row["triples"]), d3, n[g.h], weight[g.h], prob[at[g.first]]), g.at
+                    prob, at = backed_off(g.read(row["triples"]), d3, n[g.h], weight[g.h], prob[at[g.somewhere()]]), g.at
                 log, start = np.log10(prob)[at], b.start
                 base = np.log10((b.count + 0.1) / (total + 0.1 * (types + 1)))[b.word]
                 cols = [batch.column(0).slice(k, 1).flatten(), pa.array(b.held.astype(bool)), pa.array(b.sizes), pa.array(np.add.reduceat((b.count[b.word] > 0).astype(np.int64), start)), pa.array(np.full(len(start), total, np.int64)), pa.array(np.add.reduceat(base, start)), pa.array(np.add.reduceat(log, start))]
