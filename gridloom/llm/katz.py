@@ -33,7 +33,7 @@ from gridloom.runtime import bucketed, dropped, scratch_dir, settled, ship, writ
 from .common import arrow_map, extra_columns, pack, pack_ints, unpack, unpack_ints
 
 #: Tokens a block at least, tokens a partition of the tables, and the largest count that is discounted.
-BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 1_600_000, 2_500_000, 5
+BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 2_000_000, 2_500_000, 5
 BEGIN, END = 1, 2  # hashes of the two marks; a word's hash is never below 16
 
 
@@ -413,8 +413,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     settled(spark)
     d = discounts([x or 0 for x in add(pairs, MOST_DISCOUNTED + 1)])
     weights = backoff_weights(pairs.where("block is null"), word_answers, parts, unigrams, d)
-    weights = written(weights, f"{path}/weights")
-    settled(spark)
+    if order == 3:  # read more than once
+        weights = written(weights, f"{path}/weights")
+        settled(spark)
     told = _by_block(weights, ["slots", "gids", "counts", "denominator", "weight"], "answers")
     counted = _by_block(pairs.where("block is not null"), ["p", "c"], "pairs")
     joined, d3 = blocks.join(told, "block").join(counted, "block"), None
