@@ -413,9 +413,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     settled(spark)
     d = discounts([x or 0 for x in add(pairs, MOST_DISCOUNTED + 1)])
     weights = backoff_weights(pairs.where("block is null"), word_answers, parts, unigrams, d)
-    if order == 3:  # read more than once
-        weights = written(weights, f"{path}/weights")
-        settled(spark)
+    weights = written(weights, f"{path}/weights")
+    settled(spark)
     told = _by_block(weights, ["slots", "gids", "counts", "denominator", "weight"], "answers")
     counted = _by_block(pairs.where("block is not null"), ["p", "c"], "pairs")
     joined, d3 = blocks.join(told, "block").join(counted, "block"), None
