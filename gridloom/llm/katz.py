@@ -33,7 +33,7 @@ from gridloom.runtime import bucketed, dropped, scratch_dir, settled, ship, writ
 from .common import arrow_map, extra_columns, pack, pack_ints, unpack, unpack_ints
 
 #: Tokens a block at least, tokens a partition of the tables, and the largest count that is discounted.
-BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 2_000_000, 2_500_000, 5
+BLOCK_TOKENS, PARTITION_TOKENS, MOST_DISCOUNTED = 1_800_000, 2_500_000, 5
 BEGIN, END = 1, 2  # hashes of the two marks; a word's hash is never below 16
 
 
@@ -163,10 +163,13 @@ class Grams:
         n = len(gid)
         code, at = np.unique(history * n + word, return_inverse=True)
         self.at = at.astype(np.int32)
-        self.h, self.w = code // n, code % n
+        del at
+        self.h, self.w = (code // n).astype(np.int32), (code % n).astype(np.int32)
+        del code
         self.key, self.word = keys[self.h], gid[self.w]
         home = self.key % parts
-        part = np.where(counts[self.h] > hot, (home + self.word * 7919) % parts, home)
+        part = np.where(counts[self.h] > hot, (home + self.word * 7919) % parts, home).astype(np.int32)
+        del home
         self.order = np.lexsort((self.word, self.key, part))
         self.edges = np.searchsorted(part[self.order], np.arange(parts + 1))
 
