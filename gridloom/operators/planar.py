@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.geometry import segments_cross
+
 COORDINATES = ("x1", "y1", "x2", "y2")
 
 
@@ -28,6 +30,16 @@ def overlapping_boxes(segments: DataFrame, size: float) -> DataFrame:
     return dealt.join(other, ["cx", "cy"]).where(F.col("id") != F.col("o_id")).where((low("x") <= high("x")) & (low("y") <= high("y")) & once).drop("cx", "cy")
 
 
+def crossed(segments: DataFrame, size: float) -> DataFrame:
+    """``segments`` (id, x1, y1, x2, y2) that another crosses at a point inside both; of a cell's segments the first that does ends the search."""
+    s = segments.select("id", *COORDINATES).where(" and ".join(f"{c} is not null" for c in COORDINATES))
+    dealt = s.withColumn("cx", F.explode(box_cells("x1", "x2", size))).withColumn("cy", F.explode(box_cells("y1", "y2", size))).alias("p")
+    other = dealt.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in COORDINATES]).alias("q")
+    meet = segments_cross(tuple(F.col(c) for c in COORDINATES), tuple(F.col(f"o_{c}") for c in COORDINATES))
+    same = (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy"))
+    return dealt.join(other, same & meet, "left_semi").drop("cx", "cy").distinct()
+
+
 def planarise(segments: DataFrame, size: float) -> DataFrame:
     """Pieces (id, piece from 1, x1, y1, x2, y2) of segments cut wherever another crosses, touches or overlaps them.
 
