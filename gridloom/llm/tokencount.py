@@ -1,8 +1,7 @@
 """Token counts by a map-side two-tier lookup, without a pre-token shuffle.
 
 Tier one is a broadcast hash table from frequent pre-tokens to their lengths in
-tokens, counted map-side in a sample of documents chosen by hash; tier two
-encodes what it lacks and keeps the lengths in a bounded cache of the worker.  The table only saves
+tokens, counted map-side over all documents; tier two encodes what it lacks and keeps the lengths in a bounded cache of the worker.  The table only saves
 work: counts do not depend on which pre-tokens it holds.  No document and no
 pre-token of the count itself is shuffled.
 """
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, extra_columns, kept, pieces, texts
 
-#: Documents, about, that the frequent table is counted in, pre-tokens that a task counts at most, and the table's entries.
-SAMPLE_DOCS, MOST_COUNTED, FREQUENT = 10_000, 400_000, 60_000
+#: Pre-tokens that a task keeps counts of when it drops the rarest, and entries of the frequent table, of which a task sends as many at most.
+MOST_COUNTED, FREQUENT = 200_000, 60_000
 MAX_CACHE = 200_000
 #: Characters on which Python and the library agree in lower case, letters, digits and spaces.
 UNSAFE = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ɏ‐-‧‰-⁞€]")
@@ -97,16 +96,15 @@ def unpack(table: bytes) -> dict[str, int]:
     return {p: int(n) for n, ps in json.loads(table).items() for p in ps.split("\n")}
 
 
-def frequent_lengths(docs: DataFrame, raw: bytes, *, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, entries: int = FREQUENT) -> dict[str, int]:
-    """The most frequent pre-tokens among about ``sample_docs`` whole documents, chosen by their texts' hashes, with their lengths.
+def frequent_lengths(docs: DataFrame, raw: bytes, *, text_col: str = "text", entries: int = FREQUENT) -> dict[str, int]:
+    """The most frequent pre-tokens of all documents with their lengths.
 
-    Each task counts what it reads and sends its most frequent pre-tokens; their
+    Each task counts all that it reads and sends its most frequent pre-tokens; their
     sums are ranked, and ``entries`` of them come to the driver.
     """
     spark = docs.sparkSession
-    share = min(1.0, sample_docs / max(docs.count(), 1))
     text = F.col(f"`{text_col}`")
-    some = docs.select(text.alias("t")).where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))))
+    some = docs.select(text.alias("t")).where(text.isNotNull())
     shared = spark.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +115,7 @@ def frequent_lengths(docs: DataFrame, raw: bytes, *, text_col: str = "text", sam
                     seen.update(p for p in c.pieces(t) or () if len(p) <= 64)
                     if len(seen) > 2 * MOST_COUNTED:
                         seen = Counter(dict(seen.most_common(MOST_COUNTED)))
-        got = seen.most_common(MOST_COUNTED)
+        got = seen.most_common(entries)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], names=["piece", "n"])
 
     sums = arrow_map(some, run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
