@@ -229,12 +229,13 @@ class Transducer:
             return [self.ranks[data]]
         if len(self.states) > self.max_states:
             self._reset()
-        s, out, previous = self.start, [], None
+        s, out, previous, pairs = self.start, [], None, self.pairs
         for b in data:
             arc = s.get(b)
             if arc is None:
                 arc = self.step(s, b)
-            if arc[2] is not None and previous is not None and not self._fits(previous, arc[2]):
+            first = arc[2]
+            if first is not None and previous is not None and not (self._fits(previous, first) if (known := pairs.get(previous << 24 | first)) is None else known):
                 if arc[3].__class__ is tuple:
                     live, found = arc[3]
                     arc[3] = [*self._target(s, live, found), None, None]
