@@ -14,7 +14,9 @@ sets moved and compared.
 Only connection is asked for, so buckets are not expanded to all pairs: round by
 round, a few leaders of each bucket are compared with its members, what links is
 merged, and only members of different components meet again, until every bucket
-is exhausted.  Orders and sketch are a matter of speed alone: no link is lost.
+is exhausted: at the latest when those outside of each bucket's largest component
+are few enough to be compared with all its members at once.  Orders and sketch
+are a matter of speed alone: no link is lost.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ SHINGLE = 5
 #: Counters of the document-frequency sketch (one byte each when broadcast) and the slices it is merged in.
 SLOTS, SLICES = 1 << 22, 16
 #: Leaders a bucket in each round (then 16 times as many each), the size up to which a bucket is exhausted at once,
-#: and the pairs of places in all buckets that are left, up to which these are exhausted in one round.
+#: and the pairs of a member outside its bucket's largest component and any member, in all buckets that are left, up to which these are exhausted in one round.
 LEADERS, SMALL_BUCKET, AT_ONCE = (1, 16, 256, 4096), 8, 5e7
 #: Members of one leader that a task compares.
 MEMBERS = 512
@@ -280,7 +282,7 @@ def frequency_classes(rows: DataFrame) -> bytes:
 
     merged = arrow_map(rows.where("slice is not null").select("slice", "counts").repartition("slice"), run, "slice int, code binary")
     out = np.zeros(SLOTS, np.uint8)
-    for s, code in merged.toLocalIterator():
+    for s, code in merged.collect():  # at most SLOTS bytes; an iterator runs a job a partition, most of them empty
         out[s * width : (s + 1) * width] = np.frombuffer(code, np.uint8)
     return out.tobytes()
 
@@ -440,16 +442,35 @@ def _open(leaders: int) -> Column:
     return F.sum(((F.col("size") > SMALL_BUCKET) & (F.col("size") > leaders)).cast("int"))
 
 
-def cross_pairs(rows: DataFrame, leaders: int) -> DataFrame:
+def _bits(high: bool) -> Column:
+    """Of a node's 128 bits one half, with the bit of each of its tokens set."""
+    return F.bit_or(F.expr(f"case when (token & 64) = {64 * high} then shiftleft(1L, cast(token & 63 as int)) else 0L end"))
+
+
+def _most_shared(x: str, y: str) -> Column:
+    """Tokens of x that y can hold at most: each bit that y has not stands for one at least that it does not hold."""
+    missing = [F.bit_count(F.col(f"{half}_{x}").bitwiseAND(F.bitwise_not(F.col(f"{half}_{y}")))) for half in ("low", "high")]
+    return F.col(f"kept_{x}") - missing[0] - missing[1]
+
+
+def cross_pairs(rows: DataFrame, leaders: int | None) -> DataFrame:
     """Pairs (a, b) of one bucket and different components, within reach in size, that may share enough prefix tokens.
 
     ``rows`` hold all buckets in which such a pair can meet; ``kept`` is how many
-    of them a node is in, ``open`` how many of these are not exhausted by now.
+    of them a node is in, ``open`` how many of these are not exhausted by now,
+    ``low`` and ``high`` a bit for each of its tokens (``_bits``, or 0).
+    Without a number of leaders all buckets are exhausted: whoever is outside of
+    ``main``, the bucket's largest component, leads, as no such pair is within it.
     """
-    side = lambda df, k: df.select("token", *[F.col(c).alias(c + k) for c in ("node", "n", "rank", "component", "kept", "open")])
-    lead, rest = side(rows.where((F.col("size") <= SMALL_BUCKET) | (F.col("rank") <= leaders)), "_a"), side(rows, "_b")
+    side = lambda df, k: df.select("token", *[F.col(c).alias(c + k) for c in ("node", "n", "rank", "component", "main", "kept", "open", "low", "high")])
+    ordered = F.col("rank_a") < F.col("rank_b")
+    if leaders is None:
+        leads, ordered = F.col("component") != F.col("main"), ordered | (F.col("component_b") == F.col("main_b"))
+    else:
+        leads = (F.col("size") <= SMALL_BUCKET) | (F.col("rank") <= leaders)
+    lead, rest = side(rows.where(leads), "_a"), side(rows, "_b")
     need = _need(F.col("n_a"), F.col("n_b"))
-    near = (F.col("rank_a") < F.col("rank_b")) & (F.col("component_a") != F.col("component_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (F.least("kept_a", "kept_b") >= need)
+    near = ordered & (F.col("component_a") != F.col("component_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (_most_shared("a", "b") >= need) & (_most_shared("b", "a") >= need)
     pairs = lead.join(rest.withColumnRenamed("token", "token_b"), (F.col("token") == F.col("token_b")) & near)
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), need.alias("need"), F.least("open_a", "open_b").alias("open"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("need").alias("need"), F.max("open").alias("open"))
@@ -515,27 +536,32 @@ def node_components(sets: DataFrame, classes: bytes, path: str) -> DataFrame:
     rows = rows.withColumns({"weight": F.sum(F.least("size", F.lit(10_000))).over(per_node), "kept": F.count("*").over(per_node), "open": _open(LEADERS[0]).over(per_node)})
     rows = rows.withColumn("rank", F.row_number().over(per_token.orderBy(F.desc("weight"), "node"))).drop("weight")
     rows = written(rows, f"{path}/ranked")
-    pairs = written(cross_pairs(rows.withColumn("component", F.col("node")), LEADERS[0]), f"{path}/pairs0")
+    alone = {"component": F.col("node"), "main": F.col("node"), "low": F.lit(0).cast("bigint"), "high": F.lit(0).cast("bigint")}
+    pairs = written(cross_pairs(rows.withColumns(alone), LEADERS[0]), f"{path}/pairs0")
     found = written(linked(pairs, sets, f"{path}/0"), f"{path}/links0")
     components, tested, reach = connected_components(found), pairs, SMALL_BUCKET
     for k in itertools.count(1):
         # what is left: large buckets that are not of one component and not exhausted
         split = rows.where(F.col("size") > SMALL_BUCKET).drop("kept", "open").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = split.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("size").alias("most")).where("lo <> hi").select("token", "most")
+        parted = split.groupBy("token", "component").agg(F.count("*").alias("members"), F.max("size").alias("most"))
+        mixed = parted.groupBy("token").agg(F.max_by("component", "members").alias("main"), F.max("most").alias("most"), (F.sum("members") - F.max("members")).alias("others")).where("others > 0")
         mixed = written(mixed, f"{path}/mixed{k}")
-        most, work = mixed.agg(F.max("most"), F.sum(F.col("most").cast("double") ** 2)).first()
+        most, work = mixed.agg(F.max("most"), F.sum(F.col("others").cast("double") * F.col("most"))).first()
         if most is None or most <= reach:
             return components
-        leaders = most if work <= AT_ONCE else LEADERS[k] if k < len(LEADERS) else LEADERS[-1] * 16 ** (k - len(LEADERS) + 1)
+        leaders = LEADERS[k] if k < len(LEADERS) else LEADERS[-1] * 16 ** (k - len(LEADERS) + 1)
+        last = work <= AT_ONCE or leaders >= most
         # exhausted buckets stay in, as pairs are counted over all their common ones
-        split = split.join(mixed.drop("most"), "token", "left_semi")
-        split = split.join(split.groupBy("node").agg(F.count("*").alias("kept"), _open(leaders).alias("open")), "node")
-        pairs = written(cross_pairs(split, leaders).join(tested, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
+        split = split.join(mixed.select("token", "main"), "token")
+        split = split.join(split.groupBy("node").agg(F.count("*").alias("kept"), (F.lit(0) if last else _open(leaders)).alias("open"), _bits(False).alias("low"), _bits(True).alias("high")), "node")
+        pairs = written(cross_pairs(split, None if last else leaders).join(tested, ["a", "b"], "left_anti"), f"{path}/pairs{k}")
         reach = max(SMALL_BUCKET, leaders)
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             found = written(found.unionByName(linked(pairs, sets, f"{path}/{k}")), f"{path}/links{k}")
             components = connected_components(found)
+        if last:
+            return components
 
 
 def linked(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
